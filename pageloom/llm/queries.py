@@ -59,7 +59,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, 'oversized' AS kind FROM o
             UNION ALL
             SELECT doc_id, 'hard' AS kind FROM o
-            WHERE list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}.!?…。！？؟।]+'), x -> length(x))) > 6000
+            WHERE list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}.!?…。！？؟।]+'), lambda x: length(x))) > 6000
         """,
         "p4_collisions": "SELECT '' AS kind, '' AS surrogate, 0::BIGINT AS n WHERE false",
     }
