@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ["text_queries", "context", "detection"]
+
+
+def _all() -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= importlib.import_module(f"pageloom.operators.{name}").QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    """Each operator's query: (session, folder) -> DataFrame."""
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL for the queries that it can express."""
+    return {k: sql for k, (_, sql) in _all().items() if sql}
