@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "context", "detection"]
+MODULES = ["text_queries", "context", "detection", "documents", "jobs"]
 
 
 def _all() -> dict:
