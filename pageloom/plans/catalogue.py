@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "context", "detection", "documents", "jobs"]
+MODULES = ["text_queries", "context", "detection", "documents", "jobs", "images"]
 
 
 def _all() -> dict:
