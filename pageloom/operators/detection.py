@@ -48,7 +48,7 @@ def script_groups(spark, packs=INSTALLED) -> DataFrame:
 
 
 def _first_pack(lang: str) -> Column:
-    return F.lower(F.element_at(T.packs_of(F.col(lang)), 1))
+    return F.lower(F.try_element_at(T.packs_of(F.col(lang)), F.lit(1)))
 
 
 def scored(tokens: DataFrame) -> DataFrame:

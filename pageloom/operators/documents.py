@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.operators import base as B
 from pageloom.session import table
+from pageloom.sources.backends import capabilities
 
 MIN_CHARS, MAX_FILES, MAX_TOTAL, MAX_RATIO = 20, 100, 500 * 1024 * 1024, 200
 MAX_SINGLE = 100 * 1024 * 1024
@@ -368,4 +369,29 @@ QUERIES = {
         lambda s, d: B.pages(s, d).join(B.findings(s, d).where("lang = 'ara'").select("doc_id", "page", "dpi"), ["doc_id", "page"]).withColumn("psm", F.explode(F.array_except(F.array(F.lit(6), F.lit(11)), F.array(F.lit(6))))).where(B.stripped(F.coalesce("text", F.lit(""))) != "").select("doc_id", "page", "psm", F.greatest(F.lit(120), F.least("dpi", F.lit(220))).alias("dpi"), "text"),
         f"WITH {B.PAGES}, {B.FINDINGS} SELECT doc_id, page, 11 AS psm, greatest(120, least(dpi, 220)) AS dpi, text FROM pages JOIN findings USING (doc_id, page) WHERE lang = 'ara' AND {_STRIP} <> ''",
     ),
+    "M2_clamp": (
+        lambda s, d: B.findings(s, d).select("doc_id", "page", F.least(F.lit(450), F.greatest(F.lit(300), "native_dpi")).alias("dpi")),
+        f"WITH {B.FINDINGS} SELECT doc_id, page, least(450, greatest(300, native_dpi)) AS dpi FROM findings",
+    ),
+    "M3_round4": (
+        lambda s, d: B.tokens(s, d).where("conf is not null").select("doc_id", "page", "tok_no", F.round(F.col("conf") / 7, 4).alias("share")).distinct(),
+        f"WITH {B.TOKENS} SELECT DISTINCT doc_id, page, tok_no, round(conf / 7, 4) AS share FROM tokens WHERE conf IS NOT NULL",
+    ),
+    "M4_fit_factor": (
+        lambda s, d: B.findings(s, d).select("doc_id", "page", F.round(F.least(F.lit(1.0), F.lit(900.0) / (F.col("native_dpi") * 11)), 6).alias("factor")),
+        f"WITH {B.FINDINGS} SELECT doc_id, page, round(least(1.0::DOUBLE, 900.0::DOUBLE / (native_dpi * 11)), 6) AS factor FROM findings",
+    ),
+    "M7_overlay_guard": (
+        lambda s, d: B.findings(s, d).where(F.abs(F.col("native_dpi") * 8.27 - F.col("dpi") * 8.27) > 1.5).select("doc_id", "page"),
+        f"WITH {B.FINDINGS} SELECT doc_id, page FROM findings WHERE abs(native_dpi * 8.27 - dpi * 8.27) > 1.5",
+    ),
+    "M8_default_jobs": (
+        lambda s, d: B.documents(s, d).select("doc_id", F.greatest(F.lit(1), F.least(F.lit(4), F.coalesce("page_count", F.lit(1)))).alias("jobs")),
+        f"WITH {B.DOCS} SELECT doc_id, greatest(1, least(4, coalesce(page_count, 1))) AS jobs FROM docs",
+    ),
+    "M9_defaults": (
+        lambda s, d: B.documents(s, d).select("doc_id", F.coalesce("pages_done", F.lit(0)).alias("pages_done"), F.coalesce("searchable", F.lit(False)).alias("searchable"), F.coalesce("note", F.lit("")).alias("note")),
+        f"WITH {B.DOCS} SELECT doc_id, coalesce(pages_done, 0) AS pages_done, coalesce(searchable, false) AS searchable, coalesce(note, '') AS note FROM docs",
+    ),
+    "K10_capabilities": (lambda s, d: s.createDataFrame(sorted(capabilities().items()), "tool string, found boolean"), None),
 }

@@ -380,7 +380,7 @@ def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAU
                 except (ValueError, TypeError):
                     rows.append({"doc_id": r.doc_id, "page": r.page, "error": "clean_render_failed"})
             names = [x.split()[0] for x in schema.split(", ")]
-            yield pd.DataFrame(rows).reindex(columns=names).astype({"original_edge": "Int32", "height": "Int32", "width": "Int32", "scaled": "boolean"})
+            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     return pages.select("doc_id", "page", "height", "width", "data").mapInPandas(run, schema)
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "context", "detection", "documents", "jobs", "images"]
+MODULES = [
+    "operators.text_queries", "operators.context", "operators.detection", "operators.documents", "operators.jobs", "operators.images",
+    "plans.pipeline", "streaming.jobs",
+]
 
 
 def _all() -> dict:
     out: dict = {}
     for name in MODULES:
-        out |= importlib.import_module(f"pageloom.operators.{name}").QUERIES
+        out |= importlib.import_module(f"pageloom.{name}").QUERIES
     return out
 
 
