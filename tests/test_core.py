@@ -405,7 +405,7 @@ def test_queries_match_their_sql(spark):
 
     def plain(frame):
         frame = frame[sorted(frame.columns)]
-        return sorted(tuple("" if v is None or v is pd.NaT or isinstance(v, float) and v != v else str(round(float(v), 5)) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v) for v in r) for r in frame.itertuples(index=False))
+        return sorted(tuple("" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else str(round(float(v), 5)) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v) for v in r) for r in frame.itertuples(index=False))
 
     for name, sql in catalogue.oracle_sql().items():
         if name.startswith(("S1_", "S3_", "K1_", "K3_", "T1_job_stream")):
