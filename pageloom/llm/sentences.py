@@ -72,7 +72,7 @@ _TOKEN = re.compile(
     |(?P<space>\s+)
     |(?P<never>(?<![^\W_])(?:{_listed(NEVER)})(?![^\W_])|(?<=[^\W\d_])str\.(?=\s?\d)|(?<![^\W_])(?:[Nn]o|[Nn]r|[Vv]ol|[Tt]el|ext|lot|line|box)\.(?=\s?[A-Z]*\d))
     |(?P<maybe>(?<![^\W_])(?:{_listed(MAYBE)})(?![^\W_])|(?<![^\W_])(?:[^\W\d_]\.){{2,}}(?![^\W_]))
-    |(?P<initial>(?<![^\W_])[^\W\d_]\.(?=\s|[^\W\d_]\.))
+    |(?P<initial>(?<![^\W_])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.(?=\s|[A-ZÀ-ÖØ-ÞА-ЯЁ]\.))
     |(?P<number>\d+(?:[.,:/\-]\d+)*)
     |(?P<face>[:;=]-?[()DP](?!\w))
     |(?P<dots>\.{{2,}}|…+)
