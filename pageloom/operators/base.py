@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.session import table
+from pageloom.session import small_batches, table
 
 #: White space and line ends as Python counts them, as a pattern for Java and RE2.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -27,6 +27,7 @@ UPLOADS = "uploads AS (SELECT DISTINCT batch_id, ord, filename, declared_bytes,
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, page, text``: each scanned page once."""
+    small_batches(spark)
     return table(spark, d, "page_text").groupBy("doc_id", "page").agg(F.max("text").alias("text"))
 
 
@@ -46,6 +47,7 @@ def latest_documents(df: DataFrame) -> DataFrame:
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """One detection finding for each sampled page."""
+    small_batches(spark)
     return _first(table(spark, d, "page_finding"), ["doc_id", "page"], [F.asc_nulls_last("script"), F.asc_nulls_last("lang"), F.col("dpi"), F.col("rotate")])
 
 
