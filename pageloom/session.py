@@ -62,6 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     """A session on this machine with the settings used by tests and the bench."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # each task is a worker of its own
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("pageloom")
