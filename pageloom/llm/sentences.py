@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import per_batch
+from pageloom.llm.folding import plain_view
 
 #: Abbreviations after which a sentence always goes on.
 NEVER = (
@@ -288,9 +289,10 @@ def sentence_starts(text: str | None) -> list[int]:
     """Positions of the first characters of a text's sentences."""
     if not text or text.isspace():
         return []
-    codes, places = tokens(text)
+    view, kept = plain_view(text)  # abbreviations may hold look-alikes or invisible signs
+    codes, places = tokens(view)
     found = run_serial(codes) if len(codes) < 2 * BLOCK else run_blocks(codes)
-    return [places[i] for i in found]
+    return [places[i] if kept is None else kept[places[i]] for i in found]
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
