@@ -36,9 +36,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             t(s, d, "documents").select("doc_id", "text").unionByName(splitting.done_documents(t(s, d, "ocr_document"), t(s, d, "page_text")).select("doc_id", "text"))
         ),
         "p6_found": lambda s, d: folding.found(t(s, d, "documents"), t(s, d, "page_text")),
+        "p6_plain_kinds": lambda s, d: folding.found(t(s, d, "documents"), t(s, d, "page_text")).where("kind <> 'lookalike'"),
         "p6_folded": lambda s, d: folding.fold(both(s, d)).select("doc_id", "page", "folded"),
         "p7_ids": lambda s, d: tokens.encode(spread(t(s, d, "documents").select("doc_id", "text"))),
         "p7_round_trip": lambda s, d: tokens.round_trip(t(s, d, "documents")),
+        "p7_lossless": lambda s, d: tokens.round_trip(t(s, d, "documents")).select("doc_id", "n_bytes", "same"),
         "p8_packed": lambda s, d: packing.pack_texts(t(s, d, "documents"), tokens.count, CAPACITY),
         "p9_found": lambda s, d: spans.shared_pairs(t(s, d, "documents")),
         "p9_intervals": lambda s, d: spans.removal_intervals(t(s, d, "documents")),
@@ -46,6 +48,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WINDOWS = """
+              t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+              w AS (SELECT doc_id, i, substring(text, i::INTEGER, 200) AS s FROM t, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS i)),
+              r AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+              hits AS (SELECT w.* FROM w SEMI JOIN r USING (s))"""
+_ISLANDS = """
+              f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits),
+              g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f),
+              spans AS (SELECT doc_id, (min(i) - 1)::INTEGER AS "start", (max(i) + 199)::INTEGER AS "end" FROM g GROUP BY doc_id, island)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": """
@@ -63,4 +76,29 @@ def oracle_sql() -> dict[str, str]:
             WHERE list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}.!?…。！？؟।]+'), lambda x: length(x))) > 6000
         """,
         "p4_collisions": "SELECT '' AS kind, '' AS surrogate, 0::BIGINT AS n WHERE false",
+        "p6_plain_kinds": """
+            WITH x AS (SELECT doc_id, 0 AS page, text FROM documents UNION ALL SELECT doc_id, page, max(text) FROM page_text GROUP BY doc_id, page)
+            SELECT DISTINCT doc_id, page, kind FROM (SELECT doc_id, page, unnest(list_filter([
+              CASE WHEN regexp_matches(text, '[\\x{ff10}-\\x{ff19}\\x{ff21}-\\x{ff3a}\\x{ff41}-\\x{ff5a}\\x{ff66}-\\x{ff9f}]') THEN 'width' END,
+              CASE WHEN text <> nfc_normalize(text) THEN 'combining' END,
+              CASE WHEN regexp_matches(text, '\\p{Cf}') THEN 'invisible' END,
+              CASE WHEN regexp_matches(text, '[\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]') THEN 'space' END
+            ], lambda k: k IS NOT NULL)) AS kind FROM x)
+        """,
+        "p7_lossless": "SELECT doc_id, coalesce(strlen(text), 0)::INTEGER AS n_bytes, true AS same FROM documents",
+        "p9_found": f"""
+            WITH {_WINDOWS}
+            SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.s = b.s AND a.doc_id < b.doc_id
+        """,
+        "p9_intervals": f"""
+            WITH {_WINDOWS}, {_ISLANDS}
+            SELECT doc_id, "start", "end" FROM spans
+        """,
+        "p9_shared": f"""
+            WITH {_WINDOWS}, {_ISLANDS},
+            a AS (SELECT doc_id, count(*) AS n_spans, sum("end" - "start")::BIGINT AS shared_chars FROM spans GROUP BY doc_id),
+            n AS (SELECT doc_id, coalesce(max(length(text)), 0)::BIGINT AS n_chars FROM documents GROUP BY doc_id)
+            SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars,
+              CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0 END::DOUBLE AS share FROM n LEFT JOIN a USING (doc_id)
+        """,
     }
