@@ -7,14 +7,37 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each application.
+
+    Spark's file server of the driver hands it out, so it needn't be installed
+    on the workers' machines.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pageloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/pageloom.zip", "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, f"{package.name}/{file.relative_to(package)}")
+    spark.sparkContext.addPyFile(f"{folder}/pageloom.zip")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
