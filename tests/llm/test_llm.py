@@ -410,3 +410,14 @@ def test_spans_equal_brute_force(spark, monkeypatch, few):
 def test_pages_count_once(spark):
     pages = spark.createDataFrame([(5, 1, "t"), (5, 1, "t"), (5, 2, None)], "doc_id long, page int, text string")
     assert rows(page_and_web_texts(texts(spark, [(1, "w")]), pages).fillna("-")) == [(1, 0, "w"), (5, 1, "t"), (5, 2, "-")]
+
+
+def test_lines_keep_their_numbers_beside_addresses(spark):
+    page = "Write to a.b @\nc.test today\nla com-\nmune rnaintenance\n" + "maintenance la commune\n" * 3
+    df = spark.createDataFrame([(1, 1, page)], "doc_id long, page int, text string")
+    assert [r for r in rows(scans.found(df)) if r[3] == "broken_word"] == [(1, 1, 3, "broken_word")]
+
+
+def test_unknown_headers_and_footers(spark):
+    df = spark.createDataFrame([(1, 1, "la commune a une tra-\n\nPied de page\n\n31"), (1, 2, "Titre du rapport\n\nduction nouvelle")], "doc_id long, page int, text string")
+    assert ("broken_word" in {r[3] for r in rows(scans.found(df)) if r[2] == 1 and r[1] == 1})
