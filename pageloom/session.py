@@ -45,11 +45,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand texts and images to Python in batches of few rows, unless the session has its own setting.
 
     The default of 10,000 rows is meant for numbers; with texts a batch, its
-    copy in Python and what is made of it would take hundreds of MB a task.
+    copy in Python and what is made of it would take hundreds of MB a task. The
+    reader's batches shrink too, whose buffers for long texts are large objects.
     """
-    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, str(rows))
+    for key, default, own in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", rows // 2),
+    ):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(own))
 
 
 def shared_folder(spark: SparkSession) -> str:
