@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +83,10 @@ def document_averages(metrics: DataFrame) -> DataFrame:
     return means.join(modal, "doc_id")
 
 
+#: What is told of a failure.
+SAID = {"password_protected": "This PDF is password protected.", "corrupt_pdf": "This PDF could not be read; it may be damaged."}
+
+
 def classified(message: Column) -> Column:
     """A code for a failure by its message; what the message says comes before anything else."""
     m = F.lower(F.coalesce(message, F.lit("")))
@@ -91,7 +94,7 @@ def classified(message: Column) -> Column:
         F.when(F.contains(m, F.lit("password")) | F.contains(m, F.lit("encrypt")), "password_protected")
         .when(F.contains(m, F.lit("eof")) | F.contains(m, F.lit("damaged")) | F.contains(m, F.lit("startxref")), "corrupt_pdf").otherwise("processing_failed")
     )
-    said = F.when(code == "password_protected", "This PDF is password protected.").when(code == "corrupt_pdf", "This PDF could not be read; it may be damaged.")
+    said = F.when(code == "password_protected", SAID["password_protected"]).when(code == "corrupt_pdf", SAID["corrupt_pdf"])
     return F.struct(code.alias("code"), F.coalesce(said, F.concat(F.lit("OCR failed: "), F.substring(F.coalesce(message, F.lit("")), 1, 200))).alias("message"))
 
 
