@@ -35,6 +35,7 @@ NEVER = (
     "M. MM. Mme. Mlle. Me. env. éd. réf. n°. c.-à-d. p.ex. chap. "
     "Sr. Sra. Srta. D. Dña. pág. págs. aprox. núm. Cía. Véase. p.ej. tel. Tel. "
     "Sr.ª D.ª Exmo. Eng. nº. n.º n.ª "
+    "Av. av. Ave. Avda. avda. Bd. bd. Pl. Pza. pza. Rd. Blvd. Apt. apt. appt. izq. dcha. esq. dto. "
     "см. См. ср. Ср. стр. с. рис. Рис. ок. т.е. т.к. т.н. напр. г. гг. ул. пер. пр-т. пл. д. кв. им. тов. № "
     "د. أ. م. ص. डॉ. प्रो. श्री. पं. रु."
 ).split()
