@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import base as B
-from pageloom.session import written
+from pageloom.session import parted, written
 
 BEFORE, AFTER, HEAD, MAX_HITS, MARGIN = 4, 6, 12, 24, 16
 
@@ -152,7 +152,7 @@ def build_context(pages: DataFrame, labels: tuple[Label, ...], max_characters: i
     text; null texts count as empty.
     """
     # the lines are used several times below; their Python functions run once
-    own = written(lines(pages, T.repair_text("text")).withColumn("key", T.normalise_for_match("line")), "lines")
+    own = written(lines(parted(pages), T.repair_text("text")).withColumn("key", T.normalise_for_match("line")), "lines")
     focused = bool(labels) and all(x.language_mode == "specific_language" for x in labels)
     whole = pages.select("doc_id").distinct().join(rendered(own), "doc_id", "left").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("whole"), F.coalesce("pages", F.array().cast("array<int>")).alias("whole_pages")

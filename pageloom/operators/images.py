@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import planes as P
 from pageloom.operators import base as B
+from pageloom.session import parted
 
 LUMA = (0.299, 0.587, 0.114)
 MODES = ("gray", "color", "binary", "document")
@@ -409,7 +410,7 @@ def drawn_pages(findings: DataFrame, height: int = 130, width: int = 160) -> Dat
                 rows.append((doc, page, height, width, rgb.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "page", "height", "width", "data"])
 
-    return findings.select("doc_id", "page", "colour", "dpi").mapInPandas(run, "doc_id long, page int, height int, width int, data binary")
+    return parted(findings.select("doc_id", "page", "colour", "dpi")).mapInPandas(run, "doc_id long, page int, height int, width int, data binary")
 
 
 def pixel_table(findings: DataFrame, side: int = SIDE) -> DataFrame:

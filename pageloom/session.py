@@ -56,6 +56,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(own))
 
 
+def parted(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as the session shuffles to, for Python work that costs more than the rows' size tells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
