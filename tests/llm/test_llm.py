@@ -88,6 +88,32 @@ def test_word_broken_over_pages(spark):
     assert [r for r in rows(scans.found(df)) if r[3] == "broken_word"] == [(1, 1, 1, "broken_word")]
 
 
+def two_topics(spark, right, wrong, n_pages=1200):
+    """Body words and vocabulary of pages of two topics; in the first, ``right`` is misread ``wrong`` times for so many times right."""
+    rng = random.Random(5)
+    stems = [a + b + c for a in "bkpt" for b in ("una", "ova", "eza") for c in ("ket", "dol", "gap", "zuv", "wek")]
+    topics = [stems[0::2], stems[1::2]]
+    marked = ["damato"] * right + ["domato"] * wrong
+    rng.shuffle(marked)
+    pages = []
+    for page in range(n_pages):
+        words = rng.choices(topics[page % 2], k=40)
+        if page % 2 == 0:
+            share = marked[page * len(marked) // n_pages : (page + 2) * len(marked) // n_pages]
+            for w in share:
+                words.insert(rng.randrange(len(words)), w)
+        pages.append((1, page, " ".join(words)))
+    body = scans.body_words(spark.createDataFrame(pages, "doc_id long, page int, text string"), spark.createDataFrame([], "doc_id long, page int, line_no int"))
+    return body, scans.vocabulary(body)
+
+
+def test_words_beyond_the_vectors_are_judged(spark, monkeypatch):
+    body, words = two_topics(spark, 60, 6)
+    monkeypatch.setattr(scans, "MAX_VECTORS", 58)
+    assert words.where("n > 60").count() >= 58
+    assert ("domato", "damato") in rows(scans.misread_words(body, words))
+
+
 # --- 2 splitting --------------------------------------------------------------
 
 
