@@ -114,6 +114,11 @@ def test_words_beyond_the_vectors_are_judged(spark, monkeypatch):
     assert ("domato", "damato") in rows(scans.misread_words(body, words))
 
 
+def test_verdicts_do_not_depend_on_the_number_of_pages(spark):
+    body, words = two_topics(spark, 720, 60)
+    assert ("domato", "damato") in rows(scans.misread_words(body, words))
+
+
 # --- 2 splitting --------------------------------------------------------------
 
 
