@@ -7,7 +7,7 @@ read by the public numbering formats, e-mails at their sign.
 Method: surrogate generation. Every entity gets a keyed replacement of the same
 type, script, letter case and format. Digits and letters go through a keyed
 cipher that is a bijection of strings of one shape, and given names through a
-keyed permutation of a pool of one gender, so distinct entities keep distinct
+keyed permutation of a pool of one script and gender, so distinct entities keep distinct
 surrogates, and a name gets the same one in every spelling, also within an
 e-mail address. ``collisions`` checks that over a whole corpus. Texts with plain
 typed placeholders come out beside.
@@ -287,9 +287,48 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
 
 #: Given names by gender, of one script each.
 GIVEN = (
-    "Ada Bea Cora Dora Edda Fay Greta Hilda Ida June Kay Lena Mona Nora Olga Paula Rita Sara Thea Uma Vera Wanda Yara Zoe".split(),
-    "Abel Boris Carl Dean Egon Felix Gustav Hugo Ivan Jonas Kurt Leon Max Nils Oskar Paul Rolf Sven Theo Udo Viktor Werner Yves Zeno".split(),
+    (
+        "Ada Agnes Agathe Alice Alicia Amanda Amélie Ana Andrea Angela Anita Anja Ann Anna Anne Anneliese Antonia Apolline Astrid Barbara Bea Beatrice Beatriz Benedita Berta Birgit Brigitte Camila Camille Carla Carmen Carolina "
+        "Caroline Catarina Catherine Cécile Céline Charlotte Chloé Christine Clara Claire Claudia Cora Cristina Dagmar Daniela Diana Dolores Dora Dorothea Edda Edith Elena Eleanor Elisabeth Elizabeth Élodie Emilia Emily Emma Erika Esther Eva Evelyn "
+        "Fátima Fay Fernanda Florence Frauke Frieda Gabriela Geneviève Gisela Gloria Grace Graça Greta Gudrun Hanna Hannah Heike Helen Helena Helga Hélène Hester Hilda Hildegard Ida Imogen Inès Inês Ingrid Irene Iria Iris Irma Isabel "
+        "Isabella Itziar Jana Jane Janet Jeanne Jennifer Jessica Joana Johanna Josefa Judith Julia Juliette June Karen Karin Katharina Kay Laura Lena Leonor Lina Linda Lisa Louise Lourdes Lucía Lucie Luisa Lydia Maëlle Mara Margaret Margarida Margot "
+        "María Maria Mariana Marie Marina Marion Marta Martha Martina Mary Mathilde Matilde Mercedes Mia Michelle Miriam Mona Monica Monika Nadia Nancy Natalia Nathalie Nell Nina Nora Nuria Odile Olga Olivia Patricia Paula Pauline Petra Pilar Rachel "
+        "Rebecca Regina Remedios Renate Rita Rosa Rosalie Rosario Ruth Sabine Sandra Sara Sarah Silke Silvia Simone Sofía Sofia Solène Sonia Sophie Stefanie Susan Susana Susanne Sylvie Teresa Tessa Thea Theresa Uma Ulrike Ursula Valentina Valérie Vera "
+        "Verónica Victoria Virginie Wanda Wiebke Yara Yolanda Yvonne Zoe"
+    ).split(),
+    (
+        "Abel Adam Adrian Albert Alberto Alexander Alexandre Alfred Alfonso Álvaro Anacleto Andreas Andrew André Andrés Anselmo Anthony Antoine António Antonio Armand Arnaud Arthur Artur Axel Barnaby Bastien Benjamin Benoît Bernard Bernd Bernhard Boris "
+        "Brian Bruno Carl Carlos Charles Christian Christoph Claude Clive Cristóbal Damien Daniel David Dean Denis Detlef Diego Dieter Dietmar Dominik Donald Duarte Eckhard Edmund Eduardo Edward Edwin Egon Emil Emilio Enrique Eric Ernst Esteban Étienne "
+        "Eugen Eusebio Fabian Felipe Felix Fermín Fernando Filipe Florian Francis Francisco Franck François Frank Frédéric Friedrich Gabriel Gaspar Gaspard Geoffrey George Georg Gerald Gérard Gerhard Gilles Gonçalo Gonzalo Gordon Graham Gregor Guillaume "
+        "Guillermo Gustav Gustavo Hans Harald Harold Hartmut Heinrich Heinz Henri Henrique Henry Herbert Hermann Hilario Horst Hubert Hugo Ian Ignacio Ivan Jacob Jacques Jakob James Javier Jean Jens Joachim João Joaquim Joaquín Johann Johannes John Jonas "
+        "Jonathan Jordi Jorge Jörg José Joseph Juan Jules Julien Jürgen Karl Keith Kenneth Kevin Klaus Konrad Kurt Lars Laurent Leon Leonard Lothar Louis Luc Lucas Ludwig Luis Luís Manfred Manuel Marc Marcel Marco Marcos Mario Mark Markus Martin Mateus "
+        "Mathieu Matthew Matthias Maurice Max Michael Michel Miguel Moritz Nicolas Nigel Nils Norbert Nuno Oliver Olivier Oskar Óscar Otto Pablo Pascal Patrick Paul Paulo Pedro Peter Philip Philippe Pierre Rafael Rainer Ralf Ramón Raúl Raymond Régis Rémi "
+        "René Ricardo Richard Robert Roberto Rodrigo Roger Roland Rolf Rowan Rui Samuel Santiago Sebastian Sergio Siegfried Simão Simon Stefan Stephen Steven Sven Theo Thibaut Thierry Thomas Tiago Timothy Tobias Tomás Tomé Udo Ulrich Uwe Vasco Vicente "
+        "Victor Viktor Vincent Volker Walter Werner Wilhelm William Wolfgang Xavier Yves Zeno"
+    ).split(),
+    (
+        "Агата Агафья Аглая Александра Алина Алиса Алла Анастасия Анна Антонина Анфиса Валентина Валерия Варвара Василиса Вера Вероника Виктория Галина Дарья Диана Евгения Евдокия Екатерина Елена Елизавета Жанна Зинаида Злата Зоя "
+        "Инна Ирина Кира Клавдия Ксения Лариса Лидия Любовь Людмила Маргарита Марина Мария Марфа Матрёна Милана Надежда Наталья Наталия Нина Оксана Олеся Ольга Пелагея Полина Прасковья Раиса Регина Римма Светлана Серафима София Софья "
+        "Таисия Тамара Татьяна Ульяна Фаина Фёкла Юлия Яна"
+    ).split(),
+    (
+        "Александр Алексей Анатолий Андрей Антон Аркадий Арсений Артём Богдан Борис Вадим Валентин Валерий Василий Виктор Виталий Владимир Владислав Всеволод Вячеслав Геннадий Георгий Герман Глеб Григорий Даниил Денис Дмитрий Евгений Егор "
+        "Ефим Захар Иван Игнат Игорь Илья Иосиф Кирилл Константин Лев Леонид Лука Макар Максим Марк Матвей Михаил Никита Николай Олег Остап Павел Пётр Прохор Роман Руслан Савелий Святослав Семён Сергей Станислав Степан Тарас Тимофей "
+        "Тимур Тихон Фёдор Филипп Эдуард Юрий Яков Ярослав"
+    ).split(),
+    "رحمة نزهة غيثة زهور فاطمة عائشة خديجة مريم زينب ليلى سعاد سميرة نادية حليمة سلمى أمينة كريمة لطيفة مليكة نجاة هند ياسمين سناء حنان بشرى فوزية رقية صفية جميلة نعيمة سمية هدى إيمان أسماء رجاء وفاء منى سارة نورة لمياء".split(),
+    "بوشتى الطاهر العربي المكي محمد أحمد علي حسن حسين عمر عثمان يوسف إبراهيم إسماعيل خالد سعيد كريم رشيد حميد مصطفى إدريس عزيز جمال كمال طارق ياسين هشام نبيل فؤاد سليمان موسى عيسى أيوب حمزة بلال أنس رضا مراد المهدي الحسين".split(),
 )
+_GENDER = {name: k for k, pool in enumerate(GIVEN) for name in pool}
+
+
+@lru_cache(maxsize=8)
+def _next_given(key: bytes) -> dict[str, str]:
+    """The name that follows each given name in its pool's keyed order."""
+    orders = [sorted(pool, key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest()) for pool in GIVEN]
+    return {a: b for order in orders for a, b in zip(order, [*order[1:], order[0]])}
+
+
 _ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "0123456789", "٠١٢٣٤٥٦٧٨٩", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي")
 _PLACE = {ch: (a, i) for a in _ALPHABETS for i, ch in enumerate(a)}
 
@@ -336,13 +375,11 @@ def cipher(word: str, key: bytes = KEY, rounds: int = 4) -> str:
 def _word_surrogate(word: str, key: bytes) -> str:
     """Surrogate of one part of a name: pool names permute among their gender, others are ciphered out of the pool."""
     low = word.lower()
-    for pool in GIVEN:
-        if low.capitalize() in pool:
-            order = sorted(pool, key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest())
-            new = order[(order.index(low.capitalize()) + 1) % len(order)]
-            return new.upper() if word.isupper() else new.lower() if word.islower() else new
+    if low.capitalize() in _GENDER:
+        new = _next_given(key)[low.capitalize()]
+        return new.upper() if word.isupper() else new.lower() if word.islower() and low != low.capitalize() else new
     new = cipher(low, key)
-    while any(new.capitalize() in pool for pool in GIVEN):
+    while new.capitalize() in _GENDER:
         new = cipher(new, key)
     return new.upper() if word.isupper() and len(word) > 1 else new.capitalize() if word[:1].isupper() else new
 

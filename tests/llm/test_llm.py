@@ -261,6 +261,18 @@ def test_surrogates_keep_coreference(spark):
     assert privacy.found(web.where("false"), pages.where("false")).count() == 0
 
 
+def test_given_names_keep_their_gender_and_script(spark):
+    women = "Nell Mara Hester Imogen Inès Odile Nuria Lourdes Варвара Марфа Злата غيثة نزهة".split()
+    men = "Barnaby Gordon Clive Thibaut Lothar Gonzalo Simão Игнат Тихон Прохор بوشتى المكي".split()
+    female, male = (set(sum((list(pool) for pool in privacy.GIVEN[k::2]), [])) for k in (0, 1))
+    for names, pool in ((women, female), (men, male)):
+        for x in names:
+            new = privacy.surrogate(x, "name")
+            assert new != x and new in pool and [unicodedata.name(c).split()[0] for c in (x[0], new[0])] == [unicodedata.name(x[0]).split()[0]] * 2
+    every = [x for pool in privacy.GIVEN for x in pool]
+    assert len(every) == len(set(every)) == len({privacy.surrogate(x, "name") for x in every})
+
+
 # --- 5 sentences --------------------------------------------------------------
 
 
