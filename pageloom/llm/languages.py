@@ -88,18 +88,37 @@ def features(word: str) -> list[str]:
 
 _DOUBT = re.compile(r"[@＠=#©]|\[at\]|\(at\)|https?:|www\.|[!-~]{40}")
 _SOLID = re.compile(r"[!-~]{40,}")
+_ADDRESS_SIGN = re.compile(r"@|\[at\]|\(at\)|https?:|www\.")
+_ASSIGNED = re.compile(r"(?:[!-<>-~]+[ \t]{0,3})?=+[ \t]{0,3}[!-~]*")
+_CODE_SIGN = re.compile(r"[=(){}<>\[\];_\\$&|#]")
+
+
+def _blanked(x: re.Match) -> str:
+    return " " * (x.end() - x.start())
+
+
+def _is_prose(left: str, solid: int, assigned: int) -> bool:
+    """Whether what is left of a line is prose: mostly plain words, and not just some words of code."""
+    total = assigned + sum(map(letters_of, left.split()))
+    plain = sum(letters_of(w) for w in left.split() if not _CODE_SIGN.search(w.strip("()[]{}<>\"';,.:!?")))
+    return plain >= 0.7 * total and (plain >= MIN_PASSAGE or plain * 4 >= solid)
 
 
 def prose(text: str) -> str:
-    """The text with addresses, code lines and encoded runs blanked out; places stay the same."""
+    """The text with addresses, assignments, encoded runs and lines of little but code blanked out; places stay the same."""
     if not _DOUBT.search(text):
         return text
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if "=" in line or _SOLID.search(line):
-            lines[i] = " " * len(line)
-        elif _DOUBT.search(line):
-            lines[i] = _ADDRESS.sub(lambda x: " " * (x.end() - x.start()), line)
+        if _DOUBT.search(line):
+            # long runs go first, since the search for addresses takes time by the square of a run
+            solid = sum(letters_of(x) for x in _SOLID.findall(line) if not _ADDRESS_SIGN.search(x))
+            left = named = _ADDRESS.sub(_blanked, _SOLID.sub(_blanked, line))
+            if "=" in named:
+                left = _ASSIGNED.sub(_blanked, named)
+            if (solid or left != named) and not _is_prose(left, solid, letters_of(named) - letters_of(left)):
+                left = " " * len(line)
+            lines[i] = left
     return "\n".join(lines)
 
 

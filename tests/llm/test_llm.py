@@ -216,6 +216,16 @@ def test_language_cases(spark):
     assert [p["part_lang"] for p in parts] == ["de", "en"] and all(0 <= p["part_confidence"] <= 1 for p in parts)
 
 
+def test_prose_beside_addresses_and_code_stays():
+    lost = ("Lourdes.Limossmann@ivoingen.mail.example", "A" * 45, "breite=5", "https://a.test/?" + "q=1&" * 12)
+    for x in lost:
+        text = f"Die Mieterin ({x}) wohnt seit vielen Jahren in der Altstadt und zahlt ihre Miete immer am Ersten."
+        out = languages.prose(text)
+        assert len(out) == len(text) and x not in out and out.split()[:2] == ["Die", "Mieterin"] and out.endswith("wohnt seit vielen Jahren in der Altstadt und zahlt ihre Miete immer am Ersten.")
+    for code in ("x = f(1)", "if x == y and foo(bar): return baz", "A" * 45 + " var x"):
+        assert not languages.prose(code).strip()
+
+
 # --- 4 privacy ----------------------------------------------------------------
 
 
