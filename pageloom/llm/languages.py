@@ -351,14 +351,24 @@ def page_text(source: str) -> str:
 
 
 def readable(text: str | None, raw: bytes | None, charset: str | None, model: Model) -> str | None:
-    """The text itself, or what its bytes say if it was decoded by a wrong charset."""
+    """The text itself, or what its bytes say if it was decoded by a wrong charset.
+
+    Without a declared charset the text stays if its words are among those of
+    its bytes in UTF-8, or else in the charset in which most words are known.
+    """
     if not text or not raw:
         return text
+    own = (charset or "").strip().lower()
+
+    def other(source: str) -> bool:
+        return not set(_OUTSIDE.findall(text)) <= set(_OUTSIDE.findall(source)) or "�" in text and "�" not in source
+
     try:
         plain = bytes(raw).decode("utf-8")
-        if plain.isascii() or (charset or "utf-8").lower().replace("_", "-") in ("utf-8", "utf8"):
+        if plain.isascii() or own.replace("_", "-") in ("utf-8", "utf8"):
             return text
-        return page_text(plain)
+        source = page_text(plain)
+        return source if own or other(source) else text
     except UnicodeDecodeError:
         pass
     options = {}
@@ -367,22 +377,26 @@ def readable(text: str | None, raw: bytes | None, charset: str | None, model: Mo
             options[name] = bytes(raw).decode(name)
         except (UnicodeDecodeError, LookupError):
             continue
-    known = {}
-    for name, source in options.items():
+
+    def known(source: str) -> float:
         outside = _OUTSIDE.findall(page_text(source))
         hits = sum(f"w={w.lower()}" in model.index or w[0] >= "぀" and sum("b=" + w[i : i + 2] in model.index for i in range(len(w) - 1)) > 0.3 * len(w) for w in outside)
-        known[name] = hits / max(1, len(outside)) - 0.5 * len(_WRONG.findall(source)) / max(1, len(outside))
-    own = (charset or "").lower()
-    best = max(known, key=lambda x: (known[x], x == own), default=None)
-    return text if best is None or best == own and "�" not in text else page_text(options[best])
+        return hits / max(1, len(outside)) - 0.5 * len(_WRONG.findall(source)) / max(1, len(outside))
+
+    score = {name: known(source) for name, source in options.items()}
+    best = max(score, key=lambda x: (score[x], x == own), default=None)
+    if best is None or best == own and "�" not in text:
+        return text
+    source = page_text(options[best])
+    return source if own or other(source) else text
 
 
 # --- operators ----------------------------------------------------------------
 
 
 def _web(documents: DataFrame) -> DataFrame:
-    # only a text whose charset is in doubt needs its bytes
-    odd = (F.lower(F.coalesce("charset", F.lit("utf-8"))) != "utf-8") | F.col("text").rlike("�")
+    # only a text whose charset is in doubt, or not declared, needs its bytes
+    odd = (F.lower(F.coalesce("charset", F.lit(""))) != "utf-8") | F.col("text").rlike("�")
     return documents.where("text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(odd, F.col("raw")).alias("raw"), "charset", F.col("lang").alias("label")
     )

@@ -226,6 +226,20 @@ def test_prose_beside_addresses_and_code_stays():
         assert not languages.prose(code).strip()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_texts_without_a_charset_are_read_again(spark):
+    sample = spark.read.parquet(f"{DATA}/lang_sample.parquet")
+    german, russian = (" ".join(t for lang, t, k in samples() if lang == x and k < 3) for x in ("de", "ru"))
+    web = spark.createDataFrame([
+        (1, german.encode().decode("latin-1"), f"<p>{german}</p>".encode(), None, "fr"), (2, russian.encode("cp1251").decode("latin-1"), f"<p>{russian}</p>".encode("cp1251"), None, "fr"),
+        (3, german, f"<p>{german}</p>".encode(), None, "de"), (4, russian, f"<p>{russian}</p>".encode("cp1251"), None, "ru"),
+    ], "doc_id long, text string, raw binary, charset string, lang string")
+    nothing = spark.createDataFrame([], "doc_id long, status string, text string, language string")
+    assert rows(languages.found(web, nothing, sample)) == [(1, "wrong", "de"), (2, "wrong", "ru")]
+    ends = {r["doc_id"]: r["end_at"] for r in languages.languages(web, nothing, sample).collect()}
+    assert ends[1] == ends[3] <= len(german) and ends[2] == ends[4] <= len(russian)
+
+
 # --- 4 privacy ----------------------------------------------------------------
 
 
