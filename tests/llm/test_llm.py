@@ -119,6 +119,20 @@ def test_verdicts_do_not_depend_on_the_number_of_pages(spark):
     assert ("domato", "damato") in rows(scans.misread_words(body, words))
 
 
+def test_paragraphs_over_several_pages(spark):
+    han = ["港区管理处公布了新的工具清单并说明了借用的办法", "所有部门都要在月底以前把旧清单交回办公室登记"]
+    data = [
+        (1, 1, "Anfang.\n\nDer Bericht wurde am Montag ver-"), (1, 2, "schickt und danach von allen"), (1, 3, "gelesen und be-"), (1, 5, "sprochen.\n\nEnde."),
+        (2, 1, "Er wurde ver-"), (2, 2, "Schluss."), (3, 1, "Wir gehen"), (3, 3, "weiter."), (4, 1, "\n".join(han)), (4, 2, han[0] + "。"), (4, 3, han[1] + "。"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, page int, text string")
+    assert rows(scans.paragraphs(df)) == [
+        (1, 1, 1, "Anfang."), (1, 1, 2, "Der Bericht wurde am Montag verschickt und danach von allen gelesen und besprochen."), (1, 5, 1, "Ende."),
+        (2, 1, 1, "Er wurde ver-"), (2, 2, 1, "Schluss."), (3, 1, 1, "Wir gehen"), (3, 3, 1, "weiter."),
+        (4, 1, 1, f"{han[0]} {han[1]} {han[0]}。"), (4, 3, 1, f"{han[1]}。"),
+    ]
+
+
 # --- 2 splitting --------------------------------------------------------------
 
 
