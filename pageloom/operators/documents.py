@@ -14,6 +14,10 @@ from pageloom.sources.backends import capabilities
 
 MIN_CHARS, MAX_FILES, MAX_TOTAL, MAX_RATIO = 20, 100, 500 * 1024 * 1024, 200
 MAX_SINGLE = 100 * 1024 * 1024
+#: Entries of an archive that are documents and not what archivers add, for Java and Python alike.
+WANTED = r"^(?!__MACOSX/)(?!.*/\.,)(?:.*/)?[^/.][^/]*(?i:\.pdf)$"
+#: The part of a path that names the file, what file systems refuse in a name, and the name of what has none left.
+LAST_PART, NAME_CUTS, NAMELESS = r"[^\\/]*$", (r'[<>:"|?*]', r"^[. ]+|[. ]+$"), "document.pdf"
 
 
 # --- pages --------------------------------------------------------------------
@@ -126,11 +130,9 @@ def upload_checks(uploads: DataFrame) -> DataFrame:
     return g.select("batch_id", "n_files", "declared", "actual", code.alias("code"))
 
 
-def wanted_entry(name: Column, is_dir: Column | None = None) -> Column:
+def wanted_entry(name: Column) -> Column:
     """Is an archive entry a document, and not what archivers add?"""
-    own = F.element_at(F.split(name, "/"), -1)
-    good = (own != "") & ~own.startswith(".") & ~name.startswith("__MACOSX/") & ~F.contains(name, F.lit("/.,")) & F.lower(own).endswith(".pdf")
-    return good if is_dir is None else good & ~is_dir
+    return name.rlike(WANTED)
 
 
 def archive_checks(entries: DataFrame) -> DataFrame:
@@ -151,9 +153,10 @@ def archive_checks(entries: DataFrame) -> DataFrame:
 
 def bare_name(name: Column) -> Column:
     """The last part of a path without signs that file systems refuse; a default for nothing."""
-    last = F.element_at(F.split(F.regexp_replace(F.coalesce(name, F.lit("")), r"\\", "/"), "/"), -1)
-    clean = F.regexp_replace(F.regexp_replace(B.stripped(last), r'[<>:"|?*]', ""), r"^[. ]+|[. ]+$", "")
-    return F.when(clean == "", "document.pdf").otherwise(clean)
+    clean = B.stripped(F.regexp_extract(F.coalesce(name, F.lit("")), LAST_PART, 0))
+    for cut in NAME_CUTS:
+        clean = F.regexp_replace(clean, cut, "")
+    return F.when(clean == "", NAMELESS).otherwise(clean)
 
 
 def _numbered(base: str, n: int) -> str:
@@ -262,9 +265,10 @@ QUERIES = {
     ),
     "S5_read_pages_text": (lambda s, d: B.pages(s, d).select("doc_id", "page", T.repair_text("text").alias("text")), None),
     "J4_page_merge": (
-        lambda s, d: merged_pages(B.pages(s, d).where("page % 3 <> 0"), B.pages(s, d).where("page % 2 = 0")),
-        f"""WITH {B.PAGES}, a AS (SELECT doc_id, page, text AS own FROM pages WHERE page % 3 <> 0), b AS (SELECT doc_id, page, text AS new FROM pages WHERE page % 2 = 0),
-        j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, own, new, length({B.stripped_sql("coalesce(own, '')")}) >= 20 AS keeps FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page)
+        lambda s, d: merged_pages(B.pages(s, d), work_list(B.documents(s, d), B.pages(s, d)).select("doc_id", "page", F.concat(F.lit("read "), "doc_id", F.lit("/"), "page").alias("text"))),
+        f"""WITH {B.DOCS}, {B.PAGES}, b AS (SELECT doc_id, page, 'read ' || doc_id || '/' || page AS new FROM (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS page FROM docs WHERE page_count > 0) t
+          WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.doc_id = t.doc_id AND p.page = t.page AND length({_STRIP}) >= 20)),
+        j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, a.text AS own, new, length({B.stripped_sql("coalesce(a.text, '')")}) >= 20 AS keeps FROM pages a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page)
         SELECT doc_id, page, CASE WHEN keeps THEN own ELSE coalesce(new, '') END AS text, CASE WHEN keeps THEN 'native' ELSE 'recognised' END AS source FROM j""",
     ),
     "J9_image_page_size": (

@@ -36,19 +36,27 @@ def test_matching_form():
     assert T.matching_form("أَلِفـ") == "الف"
 
 
-def test_repair_turns_only_what_gains_words():
-    line = "الاسم الكامل نادية 12/05/2020 a.b@c.test"
-    turned = T.turned_line(line)
-    assert T.repaired(turned) == line
-    assert T.repaired(line) == line
-    assert T.repaired("plain\r\ntext") == "plain\r\ntext"
-    assert T.repaired(None) == ""
+def repaired(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    return [r["r"] for r in df.select("k", T.repair_text("t").alias("r")).orderBy("k").collect()]
 
 
-def test_native_reverse_equals_python(spark):
-    lines = ["", "abc", "الاسم 12/05 x", "م a.b@c ن", "12", "ab مم cd"]
-    got = spark.createDataFrame([(x,) for x in lines], "t string").select("t", T.reverse_line(F.col("t")).alias("r")).collect()
-    assert {r["t"]: r["r"] for r in got} == {x: T.turned_line(x) for x in lines}
+def test_repair_turns_only_what_gains_words(spark):
+    # two runs of letters, each from its end to its start, and in between the marks in their own order
+    line, turned = "الاسم الكامل نادية 12/05/2020 a.b@c.test", "a.b@c.test 12/05/2020 ةيدان لماكلا مسالا"
+    given = [turned, line, "plain\r\ntext", None, "", f"{turned}\n\u200eab\n{line}\n", "مس\u202e", "رقم"]
+    assert repaired(spark, given) == [line, line, "plain\r\ntext", "", "", f"{line}\nab\n{line}", "مس", "رقم"]
+
+
+def test_arabic_word_score(spark):
+    df = spark.createDataFrame([(0, "الهاتف رقم رقم"), (1, "plain"), (2, None), (3, "\ufead\ufed7\ufee2"), (4, "رَقْم")], "k int, t string")
+    assert rows(df.select("k", T.arabic_word_score("t").alias("n"))) == [(0, 2), (1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_reverse_line(spark):
+    cases = {"": "", "abc": "abc", "الاسم 12/05 x": "x 12/05 مسالا", "م a.b@c ن": "ن a.b@c م", "12": "12", "ab مم cd": "cd مم ab"}
+    got = spark.createDataFrame([(x,) for x in cases], "t string").select("t", T.reverse_line(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == cases
 
 
 def test_budget_and_ratio(spark):
@@ -114,7 +122,7 @@ def test_fill_passes_over_what_does_not_fit(spark):
 def context_plainly(pages, labels, budget_cap):
     own = []
     for page, text in sorted(pages.items()):
-        lines = [" ".join(x.replace(" ", " ").split()) for x in T.repaired(text).splitlines()]
+        lines = [" ".join(x.replace(" ", " ").split()) for x in (text or "").splitlines()]
         own.append((page, [x for x in lines if x]))
     whole = "\n".join(f"<<<PAGE {p}>>>\n" + "\n".join(ls) for p, ls in own if ls)
     budget = max(min(budget_cap, 14000), min(1000, budget_cap))
@@ -209,7 +217,7 @@ def test_names_apart(spark):
     data = [(str(b), i, n) for b, names in enumerate(cases) for i, n in enumerate(names)]
     got = rows(O.safe_names(spark.createDataFrame(data, "batch_id string, ord int, filename string")))
     for b, names in enumerate(cases):
-        bare = [archives._bare(n or "") for n in names]
+        bare = [{"..": "document.pdf", "": "document.pdf", None: "document.pdf", "d/e\\..\\f?.pdf": "f.pdf"}.get(n, n) for n in names]
         assert [r[3] for r in sorted((x for x in got if x[0] == str(b)), key=lambda x: x[1])] == O.named_apart(bare)
     assert O.named_apart(["a.pdf", "A.pdf", "a (2).pdf"]) == ["a.pdf", "A (2).pdf", "a (2) (2).pdf"]
 
