@@ -6,6 +6,8 @@ Borders: smoothing repeats the edge value (``nearest``) or mirrors it
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,23 +38,24 @@ def _matrix(n: int, sigma: float, order: int, mode: str) -> np.ndarray:
     else:
         at = at % (2 * n)
         at = np.where(at < n, at, 2 * n - 1 - at)
-    out = np.zeros((n, n), np.float32)
-    np.add.at(out, (np.repeat(np.arange(n), len(w)), at.ravel()), np.tile(w, n).astype(np.float32))
+    out = np.zeros((n, n))
+    np.add.at(out, (np.repeat(np.arange(n), len(w)), at.ravel()), np.tile(w, n))
     return out
 
 
 def _filtered(plane: np.ndarray, sigma: float, order: int, axis: int, mode: str) -> np.ndarray:
+    """One pass along an axis, summed in double precision so that an even plane keeps its exact level."""
     n = plane.shape[axis]
     weights = _weights(sigma, order)[:: -1 if order else 1]
     if n <= 512 or len(weights) // 2 > n:
         m = _matrix(n, float(sigma), order, mode)
-        return m @ plane if axis == 0 else plane @ m.T
+        return (m @ plane if axis == 0 else plane @ m.T).astype(np.float32)
     reach = len(weights) // 2
     wide = np.moveaxis(_along(plane, axis, reach, reach, mode), axis, 0)
-    out = np.zeros((n, *wide.shape[1:]), np.float32)
+    out = np.zeros((n, *wide.shape[1:]))
     for i, w in enumerate(weights):
-        out += np.float32(w) * wide[i : i + n]
-    return np.moveaxis(out, 0, axis)
+        out += w * wide[i : i + n]
+    return np.moveaxis(out, 0, axis).astype(np.float32)
 
 
 def smooth(plane: np.ndarray, sigma: float, mode: str = "nearest") -> np.ndarray:
@@ -152,58 +155,75 @@ def closed(mask: np.ndarray, shape: np.ndarray = SQUARE, times: int = 1) -> np.n
 
 
 def labels(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers of the 8-connected parts, by joining the runs of neighbouring rows."""
+    """Numbers of the 8-connected parts, in the order of their first pixels.
+
+    Runs of set pixels are joined with the runs they touch in the row above;
+    the joins are resolved for all runs at once, by hooking each root to the
+    least one it meets and halving the paths.
+    """
     h, w = mask.shape
     edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edges == 1)
     stop = np.nonzero(edges == -1)[1]
-    parent = list(range(len(row)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = np.searchsorted(row, np.arange(h + 1))
-    for y in range(1, h):
-        a, b = int(first[y - 1]), int(first[y])
-        end_a, end_b = b, int(first[y + 1])
-        while a < end_a and b < end_b:
-            if start[a] <= stop[b] and start[b] <= stop[a]:
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-            if stop[a] < stop[b]:
-                a += 1
-            else:
-                b += 1
-    number: dict[int, int] = {}
-    out = np.zeros((h, w), np.int32)
-    for i in range(len(row)):
-        out[row[i], start[i] : stop[i]] = number.setdefault(root(i), len(number) + 1)
-    return out, len(number)
-
-
-def parts(mask: np.ndarray) -> list[dict]:
-    """Each part's number, area and bounding box."""
+    n = len(row)
+    key = row * (w + 2)
+    first = np.searchsorted(key + stop, key - (w + 2) + start, "left")
+    count = np.maximum(np.searchsorted(key + start, key - (w + 2) + stop, "right") - first, 0)
+    below = np.repeat(np.arange(n), count)
+    above = np.arange(len(below)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    root = np.arange(n)
+    while True:
+        x, y = root[below], root[above]
+        apart = x != y
+        if not apart.any():
+            break
+        below, above = below[apart], above[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    roots, number = np.unique(root, return_inverse=True)
+    out = np.zeros(h * w + 1, np.int32)
+    np.add.at(out, row * w + start, number + 1)
+    np.subtract.at(out, row * w + stop, number + 1)
+    return np.cumsum(out[:-1], dtype=np.int32).reshape(h, w), len(roots)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """The 8-connected parts of a mask: one plane of numbers, and each part's area and bounding box (ends included)."""
+
+    marks: np.ndarray
+    area: np.ndarray
+    top: np.ndarray
+    bottom: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.area)
+
+    @property
+    def height(self) -> np.ndarray:
+        return self.bottom - self.top + 1
+
+    @property
+    def width(self) -> np.ndarray:
+        return self.right - self.left + 1
+
+    def painted(self, chosen: np.ndarray) -> np.ndarray:
+        """The mask of the chosen parts."""
+        return np.append(False, chosen)[self.marks]
+
+
+def parts(mask: np.ndarray) -> Parts:
+    """All parts of a mask; memory grows with the plane, not with the number of parts."""
     marks, n = labels(mask)
-    if not n:
-        return []
     ys, xs = np.nonzero(marks)
     of = marks[ys, xs] - 1
-    low_y, high_y, low_x, high_x = np.full(n, mask.shape[0]), np.zeros(n, int), np.full(n, mask.shape[1]), np.zeros(n, int)
-    np.minimum.at(low_y, of, ys), np.maximum.at(high_y, of, ys), np.minimum.at(low_x, of, xs), np.maximum.at(high_x, of, xs)
-    area = np.bincount(of, minlength=n)
-    return [{"mask": marks == i + 1, "area": int(area[i]), "top": int(low_y[i]), "bottom": int(high_y[i]), "left": int(low_x[i]), "right": int(high_x[i])} for i in range(n)]
-
-
-def box_down(plane: np.ndarray, factor: int) -> np.ndarray:
-    """Means of square blocks; an incomplete last row or column goes into the one before."""
-    h, w = max(1, plane.shape[0] // factor), max(1, plane.shape[1] // factor)
-    ys, xs = np.linspace(0, plane.shape[0], h + 1).round().astype(int), np.linspace(0, plane.shape[1], w + 1).round().astype(int)
-    sums = np.add.reduceat(np.add.reduceat(plane.astype(np.float64), ys[:-1], axis=0), xs[:-1], axis=1)
-    return (sums / np.diff(ys)[:, None] / np.diff(xs)[None, :]).astype(np.float32)
+    top, left, bottom, right = np.full(n, mask.shape[0]), np.full(n, mask.shape[1]), np.zeros(n, int), np.zeros(n, int)
+    for op, to, at in ((np.minimum, top, ys), (np.maximum, bottom, ys), (np.minimum, left, xs), (np.maximum, right, xs)):
+        op.at(to, of, at)
+    return Parts(marks, np.bincount(of, minlength=n), top, bottom, left, right)
 
 
 def nearest_up(plane: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -213,14 +233,69 @@ def nearest_up(plane: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return plane[ys.astype(int)][:, xs.astype(int)]
 
 
-def linear_to(plane: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Bilinear sampling to another size, pixel centres aligned."""
-    out = plane.astype(np.float32)
-    for axis, size in enumerate(shape):
-        n = out.shape[axis]
-        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
-        low = np.floor(at).astype(int)
-        share = (at - low).astype(np.float32)
-        share = share[:, None] if axis == 0 else share[None, :]
-        out = np.take(out, low, axis) * (1 - share) + np.take(out, np.minimum(low + 1, n - 1), axis) * share
+#: Resampling kernels and their reach.
+KERNELS = {
+    "box": (lambda x: ((x > -0.5) & (x <= 0.5)).astype(float), 0.5),
+    "bilinear": (lambda x: np.clip(1 - np.abs(x), 0, None), 1.0),
+    "bicubic": (lambda x: np.where(np.abs(x) < 1, (1.5 * np.abs(x) - 2.5) * x * x + 1, np.where(np.abs(x) < 2, -0.5 * (((np.abs(x) - 5) * np.abs(x) + 8) * np.abs(x) - 4), 0)), 2.0),
+    "lanczos": (lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0), 3.0),
+}
+#: Bits behind the point of the kernels' whole-number weights.
+BITS = 22
+
+
+@lru_cache(maxsize=32)
+def _taps(n: int, size: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each output sample the first input sample it takes and its weights, as whole numbers."""
+    weight, reach = KERNELS[kernel]
+    scale = n / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    first = np.maximum((centre - reach * wide + 0.5).astype(int), 0)
+    last = np.minimum((centre + reach * wide + 0.5).astype(int), n)
+    at = first[:, None] + np.arange((last - first).max())
+    w = np.where(at < last[:, None], weight((at - centre[:, None] + 0.5) / wide), 0)
+    w /= w.sum(axis=1, keepdims=True)
+    return first, np.where(w < 0, np.ceil(w * 2**BITS - 0.5), np.floor(w * 2**BITS + 0.5)).astype(np.int64)
+
+
+def resample(plane: np.ndarray, shape: tuple[int, int], kernel: str) -> np.ndarray:
+    """An 8-bit plane at another size: a kernel as wide as the reduction, along rows and then along columns, in whole numbers."""
+    out = np.ascontiguousarray(plane, np.uint8)
+    for axis in (1, 0):
+        n, size = out.shape[axis], shape[axis]
+        if n == size:
+            continue
+        first, weights = _taps(n, size, kernel)
+        total = np.full([size if k == axis else m for k, m in enumerate(out.shape)], 1 << (BITS - 1), np.int64)
+        for k in range(weights.shape[1]):
+            w = weights[:, k] if axis else weights[:, k, None]
+            total += np.take(out, np.minimum(first + k, n - 1), axis) * w
+        out = np.clip(total >> BITS, 0, 255).astype(np.uint8)
     return out
+
+
+def resampled(rgb: np.ndarray, shape: tuple[int, int], kernel: str) -> np.ndarray:
+    """The same for each channel."""
+    return np.stack([resample(rgb[..., c], shape, kernel) for c in range(rgb.shape[2])], axis=2)
+
+
+def shrunk(rgb: np.ndarray, factor: int) -> np.ndarray:
+    """Rounded means of square blocks of an image; the last blocks may be incomplete."""
+    h, w = rgb.shape[:2]
+    ys, xs = np.arange(0, h, factor), np.arange(0, w, factor)
+    sums = np.add.reduceat(np.add.reduceat(rgb.astype(np.int64), ys, axis=0), xs, axis=1)
+    size = np.diff(np.append(ys, h))[:, None, None] * np.diff(np.append(xs, w))[None, :, None]
+    return ((sums + size // 2) // size).astype(np.uint8)
+
+
+def thumbnail(rgb: np.ndarray, edge: int) -> np.ndarray:
+    """An image that fits a square: block means down to twice its size, then the bicubic kernel; a small one stays as it is."""
+    h, w = rgb.shape[:2]
+    if max(h, w) <= edge:
+        return rgb
+    short = min(h, w) * edge / max(h, w)
+    near = max(1, min((math.floor(short), math.ceil(short)), key=lambda n: abs(min(h, w) / max(h, w) - n / edge)))
+    shape = (edge, near) if h >= w else (near, edge)
+    factors = [int(n / m / 2) or 1 for n, m in zip((h, w), shape)]
+    return resampled(shrunk(rgb, min(factors)) if min(factors) > 1 else rgb, shape, "bicubic")

@@ -60,14 +60,6 @@ def char_counts(before: Column, after: Column) -> Column:
 # --- rollups ------------------------------------------------------------------
 
 
-def page_metrics(findings: DataFrame) -> DataFrame:
-    """Four metrics and an output mode of each sampled page, for the rollups below."""
-    return findings.select(
-        "doc_id", "page", F.round(F.col("dpi") / 1000.0, 4).alias("paper_std"), F.round(F.col("native_dpi") / 700.0, 4).alias("background_spread"),
-        F.round(F.col("rotate") / 360.0, 4).alias("contrast"), F.when(F.col("colour"), 0.11).otherwise(0.02).alias("chroma"), (F.col("native_dpi") > F.col("dpi")).alias("scaled"),
-    )
-
-
 def output_mode(paper_std: Column, spread: Column, chroma: Column, wanted: Column | None = None) -> Column:
     """How a page is to be stored; a mode that is named is kept, an unknown one means gray."""
     scattered = (paper_std > 0.06) | (spread > 0.35)
@@ -78,10 +70,15 @@ def output_mode(paper_std: Column, spread: Column, chroma: Column, wanted: Colum
     return F.when(name == "auto", own).when(name.isin("gray", "color", "binary", "document"), name).otherwise("gray")
 
 
+def _round4(x: Column) -> Column:
+    """Four decimals of the binary value; ties that it holds exactly go to the even digit."""
+    return F.rint(x * 10000) / 10000
+
+
 def document_averages(metrics: DataFrame) -> DataFrame:
     """Means of the page metrics (null counts as 0), the most frequent mode (of equal ones that of the earliest page), any scaled page."""
     names = ["paper_std", "background_spread", "contrast", "chroma"]
-    means = metrics.groupBy("doc_id").agg(*(F.round(F.avg(F.coalesce(n, F.lit(0.0))), 4).alias(n) for n in names), F.bool_or("scaled").alias("scaled"))
+    means = metrics.groupBy("doc_id").agg(*(_round4(F.avg(F.coalesce(n, F.lit(0.0)))).alias(n) for n in names), F.bool_or("scaled").alias("scaled"))
     modes = metrics.groupBy("doc_id", "mode").agg(F.count("*").alias("n"), F.min("page").alias("first"))
     modal = modes.groupBy("doc_id").agg(F.max_by("mode", F.struct("n", (-F.col("first")).alias("first"))).alias("mode"))
     return means.join(modal, "doc_id")
@@ -223,16 +220,6 @@ def preview_pages(pages: Column, count: int = 10) -> Column:
 # --- queries ------------------------------------------------------------------
 
 _STRIP = B.stripped_sql("coalesce(text, '')")
-_METRICS = f"""{B.FINDINGS}, metrics AS (SELECT doc_id, page, round(dpi / 1000.0, 4) AS paper_std, round(native_dpi / 700.0, 4) AS background_spread, round(rotate / 360.0, 4) AS contrast,
-  CASE WHEN colour THEN 0.11 ELSE 0.02 END AS chroma, native_dpi > dpi AS scaled FROM findings),
-  moded AS (SELECT *, CASE WHEN (paper_std > 0.06 OR background_spread > 0.35) AND chroma <= 0.05 THEN 'binary' WHEN chroma > 0.05 THEN 'color' ELSE 'gray' END AS mode FROM metrics)"""
-
-
-def _moded(s, d):
-    m = page_metrics(B.findings(s, d))
-    return m.withColumn("mode", output_mode(F.col("paper_std"), F.col("background_spread"), F.col("chroma")))
-
-
 def _entries(s, d):
     return B.uploads(s, d).select(F.col("batch_id").alias("archive_id"), F.concat(F.when(F.col("ord") % 5 == 4, "__MACOSX/").otherwise("in/"), "filename").alias("name"), F.col("declared_bytes").alias("file_size"), (F.col("actual_bytes") / 150).cast("long").alias("compress_size"))
 
@@ -284,17 +271,6 @@ QUERIES = {
         lambda s, d: B.uploads(s, d).groupBy("batch_id").agg(F.count("*").alias("files"), F.sum("declared_bytes").cast("long").alias("declared"), F.sum("actual_bytes").cast("long").alias("actual")),
         f"WITH {B.UPLOADS} SELECT batch_id, count(*) AS files, sum(declared_bytes)::BIGINT AS declared, sum(actual_bytes)::BIGINT AS actual FROM uploads GROUP BY batch_id",
     ),
-    "F8_output_mode": (lambda s, d: _moded(s, d).select("doc_id", "page", "mode"), f"WITH {_METRICS} SELECT doc_id, page, mode FROM moded"),
-    "A2_document_averages": (
-        lambda s, d: document_averages(_moded(s, d)).select("doc_id", "paper_std", "background_spread", "contrast", "chroma"),
-        f"""WITH {_METRICS} SELECT doc_id, round(avg(coalesce(paper_std, 0)), 4)::DOUBLE AS paper_std, round(avg(coalesce(background_spread, 0)), 4)::DOUBLE AS background_spread,
-        round(avg(coalesce(contrast, 0)), 4)::DOUBLE AS contrast, round(avg(chroma::DOUBLE), 4)::DOUBLE AS chroma FROM moded GROUP BY doc_id""",
-    ),
-    "A3_modal_mode": (
-        lambda s, d: document_averages(_moded(s, d)).select("doc_id", "mode"),
-        f"WITH {_METRICS}, c AS (SELECT doc_id, mode, count(*) AS n, min(page) AS first FROM moded GROUP BY 1, 2) SELECT doc_id, arg_max(mode, n * 1000000 - first) AS mode FROM c GROUP BY doc_id",
-    ),
-    "A4_any_scaled": (lambda s, d: document_averages(_moded(s, d)).select("doc_id", "scaled"), f"WITH {_METRICS} SELECT doc_id, bool_or(scaled) AS scaled FROM moded GROUP BY doc_id"),
     "A5_job_rollup": (
         lambda s, d: job_rollup(B.documents(s, d)),
         f"""WITH {B.DOCS} SELECT job_id, CASE WHEN bool_or(status = 'done') THEN 'done' ELSE 'error' END AS status, coalesce(sum(chars_after) FILTER (status = 'done'), 0)::BIGINT AS chars_after,

@@ -1,7 +1,6 @@
 """Cleaning of page images: illumination, folds, bands, corners, specks, output modes.
 
-One page at a time in NumPy, inside Arrow batches of few rows; the metrics and
-the point operators also exist over pixel tables, as plain expressions.
+One page at a time in NumPy, inside Arrow batches of few rows.
 """
 
 from __future__ import annotations
@@ -13,11 +12,8 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pageloom.functions import planes as P
-from pageloom.operators import base as B
-from pageloom.session import parted
 
 LUMA = (0.299, 0.587, 0.114)
 MODES = ("gray", "color", "binary", "document")
@@ -86,17 +82,22 @@ def flat(plane: np.ndarray, sigma: float, limit: float, s: Settings = DEFAULTS)
     factor = max(1, int(max(plane.shape) / s.gradient_edge)) if s.gradient_edge else 1
     if factor == 1:
         return P.steepness(plane, sigma) <= limit
-    small = P.box_down(np.clip(plane, 0, 255).astype(np.uint8), factor)
+    small = _boxed(plane, factor)
     return P.nearest_up(P.steepness(small, sigma / factor) <= limit / factor, plane.shape)
 
 
+def _boxed(plane: np.ndarray, factor: int) -> np.ndarray:
+    h, w = (max(1, n // factor) for n in plane.shape)
+    return P.resample(np.clip(plane, 0, 255), (h, w), "box").astype(np.float32)
+
+
 def _field(plane: np.ndarray, window, s: Settings) -> np.ndarray:
     """The paper's own level: ink closed away on a thinned plane, smoothed, and brought back to size."""
     step = max(1, int(max(plane.shape) / s.background_edge))
     thin = plane[::step, ::step].astype(np.float32)
     k = window(min(thin.shape))
     level = P.smooth(P.closing(thin, k, k), s.background_sigma)
-    return np.floor(P.linear_to(np.floor(np.clip(level, 0, 255)), plane.shape) + 0.5) + 1.0
+    return P.resample(np.clip(level, 0, 255), plane.shape, "bilinear").astype(np.float32) + 1.0
 
 
 def channel_backgrounds(rgb: np.ndarray, s: Settings = DEFAULTS) -> list[np.ndarray]:
@@ -136,7 +137,7 @@ def fold_zone(background: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:
     """Wide zones where the paper leaves its own smooth sheet."""
     factor = max(1, int(max(background.shape) / s.sheet_edge)) if s.sheet_edge else 1
     if factor > 1:
-        small = P.box_down(np.clip(background, 0, 255).astype(np.uint8), factor)
+        small = _boxed(background, factor)
         zone = P.nearest_up(np.abs(small - P.smooth(small, s.fold_sigma / factor)) * factor > s.fold_dev, background.shape)
     else:
         zone = np.abs(background - P.smooth(background, s.fold_sigma)) > s.fold_dev
@@ -162,12 +163,10 @@ def corner_shadows(luma: np.ndarray, background: np.ndarray, s: Settings = DEFAU
         for left in (True, False):
             at = (slice(0, size) if top else slice(h - size, h), slice(0, size) if left else slice(w - size, w))
             patch = shadow[at]
-            for part in P.parts(patch):
-                at_edge = (part["top"] == 0 if top else part["bottom"] == size - 1) and (part["left"] == 0 if left else part["right"] == size - 1)
-                box = (part["bottom"] - part["top"] + 1) * (part["right"] - part["left"] + 1)
-                share = part["area"] / patch.size
-                if at_edge and s.corner_area[0] <= share <= s.corner_area[1] and 0.12 <= part["area"] / box <= 0.92:
-                    out[at] |= part["mask"]
+            own = P.parts(patch)
+            at_edge = (own.top == 0 if top else own.bottom == size - 1) & (own.left == 0 if left else own.right == size - 1)
+            share, filled = own.area / patch.size, own.area / (own.height * own.width)
+            out[at] |= own.painted(at_edge & (share >= s.corner_area[0]) & (share <= s.corner_area[1]) & (filled >= 0.12) & (filled <= 0.92))
     return out & even
 
 
@@ -198,12 +197,9 @@ def tiny_specks(dark: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:
 
 def stray_marks(dark: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:
     """Very long thin straight parts: creases and scratches."""
-    out = np.zeros_like(dark)
-    for part in P.parts(dark):
-        sides = sorted((part["bottom"] - part["top"] + 1, part["right"] - part["left"] + 1))
-        if part["area"] >= s.mark_area and sides[1] >= s.mark_length and sides[0] <= s.mark_width and sides[1] / max(1, sides[0]) >= s.mark_ratio:
-            out |= part["mask"]
-    return out
+    own = P.parts(dark)
+    long, short = np.maximum(own.height, own.width), np.minimum(own.height, own.width)
+    return own.painted((own.area >= s.mark_area) & (long >= s.mark_length) & (short <= s.mark_width) & (long / short >= s.mark_ratio))
 
 
 def darker_than_paper(luma: np.ndarray, background: np.ndarray) -> np.ndarray:
@@ -222,12 +218,9 @@ def ink_mask(luma: np.ndarray, k: float = 0.25, radius: float = 128.0, window: i
 def without_holes(ink: np.ndarray) -> np.ndarray:
     """Ink with its small holes filled."""
     h, w = ink.shape
-    out = ink.copy()
-    for part in P.parts(~ink):
-        inside = part["top"] > 0 and part["left"] > 0 and part["bottom"] < h - 1 and part["right"] < w - 1
-        if inside and part["area"] < max(8, int(0.00006 * ink.size)):
-            out |= part["mask"]
-    return out
+    own = P.parts(~ink)
+    inside = (own.top > 0) & (own.left > 0) & (own.bottom < h - 1) & (own.right < w - 1)
+    return ink | own.painted(inside & (own.area < max(8, int(0.00006 * ink.size))))
 
 
 @dataclass
@@ -322,7 +315,7 @@ def clean_page(rgb: np.ndarray, wanted: str | None = None, s: Settings = DEFAULT
     edge = max(rgb.shape[:2])
     if edge > s.max_edge:
         shape = tuple(max(1, round(n * s.max_edge / edge)) for n in rgb.shape[:2])
-        rgb = np.stack([P.linear_to(rgb[..., c], shape) for c in range(3)], axis=2).round().astype(np.uint8)
+        rgb = P.resampled(rgb, shape, "lanczos")
     backgrounds = channel_backgrounds(rgb, s)
     corrected = flat_field(rgb, backgrounds)
     page = Page(luma_of(corrected), s)
@@ -339,26 +332,36 @@ def clean_page(rgb: np.ndarray, wanted: str | None = None, s: Settings = DEFAULT
     return out, {**m, "mode": mode, "scaled": edge > s.max_edge, "original_edge": int(edge)}
 
 
+def grey_of(rgb: np.ndarray) -> np.ndarray:
+    """Brightness in whole numbers, with weights of 16 bits."""
+    r, g, b = (rgb[..., c].astype(np.int64) for c in range(3))
+    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
+
+
+def stretched(grey: np.ndarray) -> np.ndarray:
+    """Brightness spread over the whole range."""
+    low, high = int(grey.min()), int(grey.max())
+    if high <= low:
+        return grey
+    scale = 255.0 / (high - low)
+    return np.clip((np.arange(256) * scale - low * scale).astype(int), 0, 255).astype(np.uint8)[grey]
+
+
 def has_colour(rgb: np.ndarray, threshold: int = 16, sample: int = 400) -> bool:
     """Does any channel of a thumbnail differ clearly from its brightness?"""
-    step = max(1, -(-max(rgb.shape[:2]) // sample))
-    small = rgb[::step, ::step].astype(np.int16)
-    return bool((np.abs(small - np.round(luma_of(small)).astype(np.int16)[..., None]) > threshold).any())
+    small = P.thumbnail(rgb, sample)
+    return bool((np.abs(small.astype(np.int16) - grey_of(small).astype(np.int16)[..., None]) > threshold).any())
 
 
 def is_bilevel(rgb: np.ndarray, share: float = 0.92) -> bool:
     """Are nearly all pixels near black or white once the range is stretched?"""
-    g = np.round(luma_of(rgb))
-    low, high = g.min(), g.max()
-    level = np.floor((g - low) * 255.0 / (high - low)) if high > low else g
+    level = stretched(grey_of(rgb))
     return bool(((level < 26) | (level >= 230)).mean() > share)
 
 
 def prepared(rgb: np.ndarray, rotate: int = 0) -> np.ndarray:
     """A gray, stretched copy for recognition, turned by right angles."""
-    g = np.round(luma_of(np.rot90(rgb, -(rotate // 90) % 4))).astype(np.float32)
-    low, high = g.min(), g.max()
-    return (np.floor((g - low) * 255.0 / (high - low)) if high > low else g).astype(np.uint8)
+    return stretched(grey_of(np.rot90(rgb, -(rotate // 90) % 4)))
 
 
 def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAULTS) -> DataFrame:
@@ -384,169 +387,3 @@ def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAU
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     return pages.select("doc_id", "page", "height", "width", "data").mapInPandas(run, schema)
-
-
-# --- synthetic pages and pixel tables for the queries ---------------------------
-
-SIDE = 12
-
-
-def drawn_pages(findings: DataFrame, height: int = 130, width: int = 160) -> DataFrame:
-    """A page image for each finding: uneven paper, ink, and a stamp where there is colour."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.mgrid[0:height, 0:width]
-        for batch in batches:
-            rows = []
-            for doc, page, colour, dpi in zip(batch["doc_id"], batch["page"], batch["colour"], batch["dpi"]):
-                rng = np.random.default_rng(int(doc) % 100_000 * 100 + int(page) % 100)
-                luma = np.clip(205 + 22 * np.sin((x + dpi) / 40) + 12 * np.cos(y / 30), 0, 255)
-                rgb = np.repeat(luma[..., None], 3, axis=2)
-                for k in range(8):
-                    rgb[20 + 12 * k : 26 + 12 * k, 20 + 3 * (k % 4) : 24 + 3 * (k % 4)] = 60
-                if colour:
-                    rgb[90:120, 120:160] = (200, 40, 45)
-                rgb = np.clip(rgb + rng.normal(0, 2, (height, width, 1)), 0, 255).astype(np.uint8)
-                rows.append((doc, page, height, width, rgb.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "height", "width", "data"])
-
-    return parted(findings.select("doc_id", "page", "colour", "dpi")).mapInPandas(run, "doc_id long, page int, height int, width int, data binary")
-
-
-def pixel_table(findings: DataFrame, side: int = SIDE) -> DataFrame:
-    """``doc_id, page, y, x, r, g, b``: a small synthetic page for each finding, as rows."""
-    grid = findings.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).select("doc_id", "page", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
-    seed = F.col("doc_id") % 97 * 7 + F.col("page") * 13
-    dark = ((F.col("x") + F.col("y")) % 5 == 0) & (F.col("y") % 3 == 0)
-    level = lambda k: F.when(dark, 30 + (seed + k * F.col("x")) % 40).otherwise(190 + (seed + k * F.col("x") + 3 * F.col("y")) % 60).cast("double")
-    return grid.select("doc_id", "page", "y", "x", level(3).alias("r"), level(5).alias("g"), level(2).alias("b"))
-
-
-def pixel_luma(pixels: DataFrame) -> DataFrame:
-    return pixels.withColumn("luma", F.col("r") * LUMA[0] + F.col("g") * LUMA[1] + F.col("b") * LUMA[2])
-
-
-def pixel_flat_field(pixels: DataFrame) -> DataFrame:
-    """Channels divided by the page's brightest value of each (the paper), and the brightness of that."""
-    tops = pixels.groupBy("doc_id", "page").agg(*(F.max(c).alias(f"{c}_paper") for c in "rgb"))
-    even = pixels.join(tops, ["doc_id", "page"])
-    for c in "rgb":
-        even = even.withColumn(c, F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c) / (F.col(f"{c}_paper") + 1) * 255.0)))
-    return pixel_luma(even)
-
-
-def pixel_metrics(pixels: DataFrame) -> DataFrame:
-    """The page metrics over a flat-fielded pixel table."""
-    paper, ink = F.col("luma") >= 0.85 * 255.0, F.col("luma") < 0.9 * 255.0
-    spread = F.floor(F.greatest("r", "g", "b")) - F.floor(F.least("r", "g", "b"))
-    return pixels.groupBy("doc_id", "page").agg(
-        F.round(F.coalesce(F.stddev_pop(F.when(paper, F.col("luma"))) / 255.0, F.lit(1.0)), 4).alias("paper_std"),
-        F.round((F.max(F.greatest("r_paper", "g_paper", "b_paper")) - F.min(F.least("r_paper", "g_paper", "b_paper"))) / 255.0, 4).alias("background_spread"),
-        F.round(F.coalesce(F.percentile(F.when(paper, F.col("luma")), 0.5) / 255.0, F.lit(1.0)) - F.when(F.count_if(ink) > 1000, F.percentile(F.when(ink, F.col("luma")), 0.3) / 255.0).otherwise(0.9), 4).alias("contrast"),
-        F.round(F.coalesce(F.avg(F.when(ink, spread)) / 255.0, F.lit(0.0)), 4).alias("chroma"),
-    )
-
-
-_PIXELS = f"""{B.FINDINGS}, grid AS (SELECT doc_id, page, y::INTEGER AS y, x::INTEGER AS x, doc_id % 97 * 7 + page * 13 AS seed, (x + y) % 5 = 0 AND y % 3 = 0 AS dark
-    FROM findings, range(0, {SIDE}) a(y), range(0, {SIDE}) b(x)),
-  pixels AS (SELECT doc_id, page, y, x, {', '.join(f"(CASE WHEN dark THEN 30 + (seed + {k} * x) % 40 ELSE 190 + (seed + {k} * x + 3 * y) % 60 END)::DOUBLE AS {c}" for c, k in (('r', 3), ('g', 5), ('b', 2)))} FROM grid),
-  lumas AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS luma FROM pixels),
-  tops AS (SELECT doc_id, page, max(r) AS r_paper, max(g) AS g_paper, max(b) AS b_paper FROM pixels GROUP BY doc_id, page),
-  even AS (SELECT doc_id, page, y, x, {', '.join(f"greatest(0.0::DOUBLE, least(255.0::DOUBLE, {c} / ({c}_paper + 1) * 255.0)) AS {c}" for c in 'rgb')}, r_paper, g_paper, b_paper FROM pixels JOIN tops USING (doc_id, page)),
-  flat AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS luma FROM even),
-  papers AS (SELECT doc_id, page, max(luma) + 1 AS bg FROM lumas GROUP BY doc_id, page)"""
-
-
-def _pixels(s, d):
-    return pixel_table(B.findings(s, d))
-
-
-def _paper(s, d):
-    p = pixel_luma(_pixels(s, d))
-    return p.join(p.groupBy("doc_id", "page").agg((F.max("luma") + 1).alias("bg")), ["doc_id", "page"])
-
-
-def _measured(f, schema):
-    """A query of one figure for each drawn page, by a function of its pixels."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(r.doc_id, r.page, *f(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3))) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in f"doc_id long, page int, {schema}".split(", ")])
-
-    return lambda s, d: drawn_pages(B.findings(s, d)).mapInPandas(run, f"doc_id long, page int, {schema}")
-
-
-def _share(mask) -> float:
-    return round(float(np.mean(mask)), 6)
-
-
-def _page_of(rgb) -> Page:
-    return Page(luma_of(flat_field(rgb, channel_backgrounds(rgb))))
-
-
-_BILEVEL = "CASE WHEN high > low THEN floor((v - low) * 255.0 / (high - low)) ELSE v END"
-
-QUERIES = {
-    "M1_luma": (lambda s, d: pixel_luma(_pixels(s, d)).select("doc_id", "page", "y", "x", F.round("luma", 4).alias("luma")), f"WITH {_PIXELS} SELECT doc_id, page, y, x, round(luma, 4) AS luma FROM lumas"),
-    "P4_flat_field": (
-        lambda s, d: pixel_flat_field(_pixels(s, d)).select("doc_id", "page", "y", "x", *(F.round(c, 4).alias(c) for c in ("r", "g", "b", "luma"))),
-        f"WITH {_PIXELS} SELECT doc_id, page, y, x, round(r, 4) AS r, round(g, 4) AS g, round(b, 4) AS b, round(luma, 4) AS luma FROM flat",
-    ),
-    "P6_whiten_luma": (
-        lambda s, d: _paper(s, d).withColumn("w", F.lit(255.0) * F.pow(F.least(F.lit(1.0), F.col("luma") / F.col("bg")), F.lit(0.9))).select("doc_id", "page", "y", "x", F.round(F.when(F.col("w") >= 247.0, 255.0).otherwise(F.col("w")), 4).alias("white")),
-        f"WITH {_PIXELS}, w AS (SELECT doc_id, page, y, x, 255.0 * pow(least(1.0::DOUBLE, luma / bg), 0.9::DOUBLE) AS w FROM lumas JOIN papers USING (doc_id, page)) SELECT doc_id, page, y, x, round(CASE WHEN w >= 247.0 THEN 255.0 ELSE w END, 4) AS white FROM w",
-    ),
-    "P15_residual_dark": (
-        lambda s, d: _paper(s, d).where((F.col("luma") < F.col("bg") * 0.94) & (F.col("bg") > 8)).select("doc_id", "page", "y", "x"),
-        f"WITH {_PIXELS} SELECT doc_id, page, y, x FROM lumas JOIN papers USING (doc_id, page) WHERE luma < bg * 0.94::DOUBLE AND bg > 8",
-    ),
-    "U2_mask_union": (
-        lambda s, d: _paper(s, d).select("doc_id", "page", "y", "x", ((F.col("luma") < F.col("bg") * 0.94) | (F.col("y") == 0) | (F.col("x") == SIDE - 1)).alias("set")),
-        f"""WITH {_PIXELS} SELECT doc_id, page, y, x, luma < bg * 0.94::DOUBLE OR y = 0 OR x = {SIDE - 1} AS "set" FROM lumas JOIN papers USING (doc_id, page)""",
-    ),
-    "A1_page_metrics": (
-        lambda s, d: pixel_metrics(pixel_flat_field(_pixels(s, d))),
-        f"""WITH {_PIXELS} SELECT doc_id, page, round(coalesce(stddev_pop(luma) FILTER (luma >= 216.75) / 255.0, 1.0), 4) AS paper_std,
-          round((max(greatest(r_paper, g_paper, b_paper)) - min(least(r_paper, g_paper, b_paper))) / 255.0, 4) AS background_spread,
-          round(coalesce(quantile_cont(luma, 0.5) FILTER (luma >= 216.75) / 255.0, 1.0) - CASE WHEN count(*) FILTER (luma < 229.5) > 1000 THEN quantile_cont(luma, 0.3) FILTER (luma < 229.5) / 255.0 ELSE 0.9::DOUBLE END, 4) AS contrast,
-          round(coalesce(avg(floor(greatest(r, g, b)) - floor(least(r, g, b))) FILTER (luma < 229.5) / 255.0, 0.0), 4) AS chroma FROM flat GROUP BY doc_id, page""",
-    ),
-    "F7_has_colour": (
-        lambda s, d: pixel_luma(_pixels(s, d)).withColumn("g0", F.rint("luma")).groupBy("doc_id", "page").agg((F.max(F.greatest(*(F.abs(F.col(c) - F.col("g0")) for c in "rgb"))) > 16).alias("colour")),
-        f"WITH {_PIXELS} SELECT doc_id, page, max(greatest(abs(r - round_even(luma, 0)), abs(g - round_even(luma, 0)), abs(b - round_even(luma, 0)))) > 16 AS colour FROM lumas GROUP BY doc_id, page",
-    ),
-    "F6_is_bilevel": (
-        lambda s, d: (lambda p: p.join(p.groupBy("doc_id", "page").agg(F.min("v").alias("low"), F.max("v").alias("high")), ["doc_id", "page"]).withColumn("l", F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) * 255.0 / (F.col("high") - F.col("low")))).otherwise(F.col("v")))
-                      .groupBy("doc_id", "page").agg((F.count_if((F.col("l") < 26) | (F.col("l") >= 230)) / F.count("*") > 0.92).alias("bilevel")))(pixel_luma(_pixels(s, d)).select("doc_id", "page", F.rint("luma").alias("v"))),
-        f"""WITH {_PIXELS}, v AS (SELECT doc_id, page, round_even(luma, 0) AS v FROM lumas), e AS (SELECT doc_id, page, min(v) AS low, max(v) AS high FROM v GROUP BY doc_id, page)
-        SELECT doc_id, page, count(*) FILTER ({_BILEVEL} < 26 OR {_BILEVEL} >= 230) / count(*) > 0.92 AS bilevel FROM v JOIN e USING (doc_id, page) GROUP BY doc_id, page""",
-    ),
-    "P23_clean_page": (lambda s, d: clean_pages(drawn_pages(B.findings(s, d))).select("doc_id", "page", "paper_std", "background_spread", "contrast", "chroma", "mode", "scaled", "original_edge", "error"), None),
-    "P24_clean_document": (
-        lambda s, d: clean_pages(drawn_pages(B.findings(s, d))).groupBy("doc_id").agg(F.count("*").alias("pages"), F.round(F.avg("contrast"), 4).alias("contrast"), F.round(F.avg("chroma"), 4).alias("chroma"), F.bool_or("scaled").alias("scaled")),
-        None,
-    ),
-    "P1_rgb_l8": (_measured(lambda a: (int(a.shape[0]), int(a.shape[1]), int(np.clip(luma_of(a), 0, 255).astype(np.uint8).max())), "height int, width int, top int"), None),
-    "P2_gradient_masks": (_measured(lambda a: (_share(~flat(luma_of(a), 1.2, 14)), _share(flat(luma_of(a), 1.2, 9))), "above double, below double"), None),
-    "P3_background_maps": (_measured(lambda a: tuple(round(float(b.mean()), 3) for b in channel_backgrounds(a)), "r double, g double, b double"), None),
-    "P5_background_luma": (_measured(lambda a: (round(float(luma_background(luma_of(a)).mean()), 3),), "level double"), None),
-    "P7_residual_wash": (_measured(lambda a: (_share(washed(luma_of(a))[1]), round(float(washed(luma_of(a))[0].mean()), 3)), "share double, level double"), None),
-    "P8_fold_map": (_measured(lambda a: (_share(_page_of(a).fold),), "share double"), None),
-    "P9_fold_ink": (_measured(lambda a: (_share(fold_ink(luma_of(a), _page_of(a).fold, flat(luma_of(a), 1.2, 14))),), "share double"), None),
-    "P10_corner_mask": (_measured(lambda a: (_share(corner_shadows(luma_of(a), luma_background(luma_of(a)))),), "share double"), None),
-    "P11_band_mask": (_measured(lambda a: (_share(band_streaks(luma_of(a), luma_background(luma_of(a)))),), "share double"), None),
-    "P12_disk": (lambda s, d: s.createDataFrame([(r, int(P.disk(r).sum())) for r in range(1, 6)], "radius int, cells int"), "SELECT r::INTEGER AS radius, count(*)::INTEGER AS cells FROM range(1, 6) t(r), range(-5, 6) a(y), range(-5, 6) b(x) WHERE x * x + y * y <= r * r GROUP BY r"),
-    "P13_tiny_specks": (_measured(lambda a: (_share(tiny_specks(luma_of(a) < 120)),), "share double"), None),
-    "P14_stray_marks": (_measured(lambda a: (_share(stray_marks(luma_of(a) < 120)),), "share double"), None),
-    "A15_components": (_measured(lambda a: (len(P.parts(luma_of(a) < 120)), sum(x["area"] for x in P.parts(luma_of(a) < 120))), "parts int, area int"), None),
-    "P16_document_mode": (_measured(lambda a: (round(float(_page_of(a).document().mean()), 3),), "level double"), None),
-    "P17_clean_gray": (_measured(lambda a: (round(float(_page_of(a).gray().mean()), 3),), "level double"), None),
-    "P18_clean_color": (_measured(lambda a: (round(float(_page_of(a).color(flat_field(a, channel_backgrounds(a))).mean()), 3),), "level double"), None),
-    "P19_sauvola": (_measured(lambda a: (_share(ink_mask(luma_of(a))),), "share double"), None),
-    "P20_fill_holes": (_measured(lambda a: (_share(without_holes(luma_of(a) < 120)),), "share double"), None),
-    "P21_clean_binary": (_measured(lambda a: (round(float(_page_of(a).binary().mean()), 3),), "level double"), None),
-    "P22_colour_blend": (_measured(lambda a: (round(float(clean_page(a, "color")[0].mean()), 3),), "level double"), None),
-    "P25_prepare": (_measured(lambda a: (int(prepared(a, 90).shape[0]), int(prepared(a, 90).max())), "height int, top int"), None),
-    "P26_mono": (_measured(lambda a: (_share(prepared(a) > 128),), "share double"), None),
-}

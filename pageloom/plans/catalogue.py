@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "operators.text_queries", "operators.context", "operators.detection", "operators.documents", "operators.jobs", "operators.images",
+    "operators.text_queries", "operators.context", "operators.detection", "operators.documents", "operators.jobs", "operators.image_queries",
     "plans.pipeline", "streaming.jobs",
 ]
 

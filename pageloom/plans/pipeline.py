@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.operators import base as B
 from pageloom.operators import detection, documents, images
+from pageloom.operators.image_queries import drawn_pages
 from pageloom.session import shared_folder, table
 from pageloom.sources.archives import entries_of
 from pageloom.sources.backends import BlankRenderer, TableRecogniser
@@ -145,7 +146,7 @@ def _zipped(s, d):
 
 def _cleaned_files(s, d):
     folder = _folder(s, "cleaned")
-    pages = images.clean_pages(images.drawn_pages(B.findings(s, d))).where("error is null")
+    pages = images.clean_pages(drawn_pages(B.findings(s, d))).where("error is null")
 
     def run(batches):
         doc, file, writer, done = None, None, None, []
@@ -168,24 +169,28 @@ def _cleaned_files(s, d):
     return pages.repartition("doc_id").sortWithinPartitions("doc_id", "page").mapInPandas(run, "doc_id long, pages int, bytes long")
 
 
-def _previews(s, d):
-    from pageloom.functions.planes import linear_to
+def previews(pages: DataFrame, edge: int = 90) -> DataFrame:
+    """``doc_id, page, height, width, data``: page images no longer than ``edge``; smaller ones stay as they are."""
+    from pageloom.functions.planes import resampled
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for batch in batches:
-            rows = []
+            out = []
             for r in batch.itertuples(index=False):
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-                scale = min(1.0, 90 / max(a.shape[:2]))
-                shape = tuple(max(1, round(n * scale)) for n in a.shape[:2])
-                small = np.stack([linear_to(a[..., c], shape) for c in range(3)], axis=2)
-                rows.append((r.doc_id, r.page, shape[0], shape[1], round(float(small.mean()), 3)))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "height", "width", "level"])
+                a, longest = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3), max(r.height, r.width)
+                if longest > edge:
+                    a = resampled(a, tuple(max(1, round(n * edge / longest)) for n in a.shape[:2]), "bilinear")
+                out.append((r.doc_id, r.page, *a.shape[:2], a.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "height", "width", "data"])
+
+    return pages.select("doc_id", "page", "height", "width", "data").mapInPandas(run, "doc_id long, page int, height int, width int, data binary")
 
+
+def _previews(s, d):
     wanted = B.findings(s, d).groupBy("doc_id").agg(documents.preview_pages(F.collect_list("page")).alias("p")).select("doc_id", F.explode("p").alias("page"))
-    return images.drawn_pages(B.findings(s, d).join(wanted, ["doc_id", "page"])).mapInPandas(run, "doc_id long, page int, height int, width int, level double")
+    return previews(drawn_pages(B.findings(s, d).join(wanted, ["doc_id", "page"]))).select("doc_id", "page", "height", "width", F.octet_length("data").alias("bytes"))
 
 
 _DONE_PAGES = f"WITH {B.DOCS} SELECT doc_id, page_count AS pages FROM docs WHERE status = 'done' AND page_count > 0"
@@ -212,7 +217,11 @@ QUERIES = {
         lambda s, d: _cleaned_files(s, d).select("doc_id", "pages"),
         f"WITH {B.FINDINGS} SELECT doc_id, count(*)::INTEGER AS pages FROM findings GROUP BY doc_id",
     ),
-    "K6_previews": (_previews, None),
+    "K6_previews": (
+        _previews,
+        f"""WITH {B.FINDINGS} SELECT doc_id, page, 35 AS height, 90 AS width, 35 * 90 * 3 AS bytes FROM
+        (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rk FROM findings) WHERE rk <= 10""",
+    ),
     "R1_ocr_page_pdf": (lambda s, d: recognised(detection.language_for_page(documents.work_list(B.documents(s, d), B.pages(s, d)), B.findings(s, d), B.documents(s, d).select("doc_id", "language")).withColumn("dpi", F.lit(300))), None),
     "R2_ocr_image_text": (lambda s, d: recognised(B.findings(s, d).select("doc_id", "page", F.coalesce("lang", F.lit("eng")).alias("lang"), "dpi")), f"WITH {B.FINDINGS} SELECT doc_id, page, 'recognised ' || doc_id || '/' || page || ' in ' || coalesce(lang, 'eng') || ' at ' || dpi || ' (3)' AS text FROM findings"),
     "R4_make_searchable": (_searchable, None),

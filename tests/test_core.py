@@ -286,6 +286,58 @@ def test_labels_equal_flood_fill(seed):
     assert n == count and len({(a, b) for a, b in zip(marks[mask], seen[mask])}) == count and not marks[~mask].any()
 
 
+def test_parts_of_a_full_page_need_little_memory():
+    import tracemalloc
+
+    mask = np.zeros((2600, 1838), bool)
+    for y in range(20, 2580, 30):
+        for x in range(20, 1800, 20):
+            mask[y : y + 12, x : x + 9] = True
+    tracemalloc.start()
+    own = P.parts(mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(own) == len(range(20, 2580, 30)) * len(range(20, 1800, 20)) > 7_000 and (own.area == 108).all() and (own.width == 9).all()
+    assert peak < 500e6
+    assert own.painted(np.arange(len(own)) == 0).sum() == 108
+
+
+def resample_plainly(row, size, kernel, reach):
+    """Weights of each output sample by the kernel's definition, without whole numbers."""
+    n, out = len(row), []
+    wide = max(n / size, 1.0)
+    for i in range(size):
+        centre = (i + 0.5) * n / size
+        low, high = max(0, int(centre - reach * wide + 0.5)), min(n, int(centre + reach * wide + 0.5))
+        w = [kernel((k + 0.5 - centre) / wide) for k in range(low, high)]
+        out.append(sum(a * b for a, b in zip(w, row[low:high])) / sum(w))
+    return np.clip(np.floor(np.array(out) + 0.5), 0, 255)
+
+
+def test_resampling_equals_its_definition():
+    import math
+
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    kernels = {"lanczos": (lambda x: sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0, 3), "bilinear": (lambda x: max(0.0, 1 - abs(x)), 1), "box": (lambda x: 1.0 if -0.5 < x <= 0.5 else 0.0, 0.5)}
+    row = np.random.default_rng(5).integers(0, 256, 97)
+    for name, (kernel, reach) in kernels.items():
+        for size in (31, 60, 97, 240):
+            got = P.resample(np.tile(row, (3, 1)).astype(np.uint8), (3, size), name)
+            want = row if size == 97 else resample_plainly(row.tolist(), size, kernel, reach)
+            assert np.abs(got[1].astype(int) - want).max() <= 1 and (got[0] == got[2]).all()
+            assert (P.resample(np.tile(row[:, None], (1, 3)).astype(np.uint8), (size, 3), name)[:, 1] == got[1]).all()
+
+
+def test_colour_of_a_large_page_is_seen_in_its_thumbnail():
+    page = np.full((3508, 2480, 3), 230, np.uint8)
+    assert P.thumbnail(page, 400).shape == (400, 283, 3) and not I.has_colour(page)
+    page[100:300, 100:300] = (200, 40, 40)
+    assert I.has_colour(page)
+    few = np.full((3508, 2480, 3), 230, np.uint8)
+    few[10, 10] = (255, 0, 0)  # one pixel is lost in the thumbnail
+    assert not I.has_colour(few)
+
+
 def paper(h, w, seed, sd, base):
     y, x = np.mgrid[0:h, 0:w]
     return base(y, x) + np.random.default_rng(seed).normal(0, sd, (h, w))
