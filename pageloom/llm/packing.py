@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from pageloom.session import written
 
-#: Parts in which the items of one size are counted, so that a size which many items share is no single task.
-PARTS = 64
+#: Items of one size that are ranked together; a size that more items share is ranked in parts.
+RANKED = 50_000
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,8 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
                 del left[s]
                 order.pop(bisect_left(order, s))
 
+    # Each test stays true while its set is taken again: taking items only raises the least ones that are left. So a set
+    # is taken as often as its items last, and each step but one of a size uses a size up.
     while True:
         j = next((s for s in reversed(order) if s not in skipped), None)
         if j is None:
@@ -82,7 +84,7 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
         room = capacity - j
         low = [s for s in order[:3] if s != j or left[j] > 1]
         if not low or low[0] > room:
-            take((j,), left[j] if j > room or left[j] == 1 else 1)
+            take((j,), left[j] if j > room else 1)
             continue
         at = bisect_left(order, room + 1) - 1
         best = order[at]
@@ -90,17 +92,11 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             at -= 1
             best = order[at]
         copies = left[j] // 2 if best == j else min(left[j], left[best])
-        if best == room:
-            take((j, best), copies)
-            continue
         small = low[0]
         second = small if left[small] - (small == j) > 1 else (low[1] if len(low) > 1 else capacity)
-        if small + second > room:
-            take((j, best), 1 if best == small or second in (j, best) else copies)
-            continue
-        third = second if left.get(second, 0) - (second == small) - (second == j) > 1 else capacity
-        if small + second + min(third, second) > room and _largest_pair(order[: at + 1], left, room) <= best:
-            take((j, best), 1)
+        alone = best == room or small + second > room
+        if alone or small + 2 * second > room and _largest_pair(order[: at + 1], left, room) <= best:
+            take((j, best), copies)
             continue
         skipped.add(j)
 
@@ -180,18 +176,21 @@ def pieces(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_
 def pack(sizes: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """``key, piece, n_tokens, container, place``: where each item or piece goes.
 
-    ``sizes`` should be cheap to read twice (a written table): once for the
-    counts, once for the ranks. Ranks within a size come from counts of its
-    parts, so no task holds all items of a size.
+    ``sizes`` should be cheap to read three times (a written table): for the
+    histogram, for the counts of parts and for the ranks. A size is ranked in
+    parts of about RANKED items, so no task holds all items of a size.
     """
-    items = pieces(sizes, capacity, key, size).withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(PARTS)).cast("int"))
+    items = pieces(sizes, capacity, key, size)
+    histogram = {r["n_tokens"]: r["n"] for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    # as many rows as the histogram
+    shares = F.broadcast(items.sparkSession.createDataFrame([(s, -(-n // RANKED)) for s, n in histogram.items()], "n_tokens int, parts int"))
+    items = items.join(shares, "n_tokens").withColumn("part", F.pmod(F.xxhash64(key, "piece"), "parts").cast("int")).drop("parts")
     counted = items.groupBy("n_tokens", "part").agg(F.count("*").alias("n"))
     offsets = counted.select(
         "n_tokens",
         "part",
         F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
     )
-    histogram = {r["n_tokens"]: r["n"] for r in counted.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     patterns = plan(histogram, capacity)
     slots = {s: tuple(np.array(x, np.int64) for x in zip(*runs)) for s, runs in _slots(patterns).items()}
     total = max(1, sum(p.copies for p in patterns))

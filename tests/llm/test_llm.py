@@ -440,7 +440,18 @@ def test_reduction_loses_no_container(items):
     assert sum(p.copies for p in fixed) + (optimal(rest, 20) if rest else 0) == optimal(items, 20)
 
 
-def test_pack_rows(spark):
+@pytest.mark.parametrize("n", [1000, 10**6])
+def test_patterns_do_not_grow_with_the_items(n):
+    assert len(packing.plan({1500: n, 400: n}, 2048)) == 1
+    patterns = packing.plan({1500: n, 400: n // 2, 300: n, 90: 3 * n, 1024: n + 1}, 2048)
+    assert len(patterns) < 12
+    for size, count in {1500: n, 400: n // 2, 300: n, 90: 3 * n, 1024: n + 1}.items():
+        assert sum(p.sizes.count(size) * p.copies for p in patterns) == count
+
+
+@pytest.mark.parametrize("ranked", [3, 50_000])
+def test_pack_rows(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     sizes = [0] * 50 + [5] * 7 + [100] * 3 + [250, 101, 99, 1, 50, 50]
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)] + [(1000, None, "y")], "doc_id long, n_tokens int, place string")
     out = packing.pack(df, 100).toPandas()
