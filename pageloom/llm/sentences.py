@@ -2,11 +2,12 @@
 
 Method: the boundary rules are compiled into a finite transducer over token
 classes: every reachable state of ``_rule`` becomes a row of two tables, next
-state and output (does a sentence start at this token?). Ordinary texts run
-through it token by token. Long documents are cut into blocks of tokens; each
+state and output (does a sentence start at this token?). The token classes of a
+batch of texts, of whatever length each, are laid out as equal blocks; every
 block is turned into its state-transition function (for all start states at
 once), the functions are composed by a parallel prefix scan, and then all
-blocks run at once from their true start states.
+blocks run at once from their true start states. A blank line takes every state
+to the start, so one between two texts keeps them apart.
 
 Defined results: null, empty and blank texts have no sentences; a text without
 any mark is one sentence for each paragraph; a quotation or bracket that is
@@ -242,64 +243,80 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(table[:, :, 0]).astype(np.int32), np.ascontiguousarray(table[:, :, 1]).astype(bool)
 
 
-#: Tokens of a block, and the number of tokens from which a text is run in blocks.
-BLOCK = 2048
+#: Most tokens of a block. Shorter runs have shorter blocks, at least BLOCKS of them.
+BLOCK, BLOCKS = 256, 64
 
 
-def run_serial(codes: list[int]) -> list[int]:
-    """Indices of the tokens at which a sentence starts."""
-    rows, outs = _lists()
-    state, found = 0, []
-    for i, c in enumerate(codes):
-        if outs[state][c]:
-            found.append(i)
-        state = rows[state][c]
-    return found
-
-
-@lru_cache(maxsize=1)
-def _lists():
-    to, out = transducer()
-    return to.tolist(), out.tolist()
-
-
-def run_blocks(codes: list[int], block: int = BLOCK) -> list[int]:
-    """The same, by composing the blocks' state-transition functions in a prefix scan."""
+def run_blocks(codes: np.ndarray, block: int | None = None) -> np.ndarray:
+    """Indices of the tokens at which a sentence starts, by composing the blocks' state-transition functions in a prefix scan."""
     to, out = transducer()
     n, states = len(codes), len(to)
+    block = block or max(1, min(BLOCK, -(-n // BLOCKS)))
     count = -(-n // block)
     grid = np.full((count, block), _FIXED["space"], np.int32)
     grid.ravel()[:n] = codes
+    grid = np.ascontiguousarray(grid.T)
+    # by token class and state, so that a step is one look-up for all blocks and states
+    step, gives = np.ascontiguousarray(to.T).ravel(), np.ascontiguousarray(out.T).ravel()
     functions = np.tile(np.arange(states, dtype=np.int32), (count, 1))
-    for i in range(block):
-        functions = to[functions, grid[:, i : i + 1]]
-    prefix, reach = functions.copy(), 1
+    for row in grid:
+        functions = step[functions + row[:, None] * states]
+    prefix, reach = functions, 1
     while reach < count:  # inclusive scan: after round r each entry spans 2**r blocks
         later = np.take_along_axis(prefix[reach:], prefix[:-reach], axis=1)
         prefix = np.concatenate([prefix[:reach], later])
         reach *= 2
     state = np.concatenate([np.zeros(1, np.int32), prefix[:-1, 0]])
-    starts = np.zeros((count, block), bool)
-    for i in range(block):
-        starts[:, i] = out[state, grid[:, i]]
-        state = to[state, grid[:, i]]
-    return np.flatnonzero(starts.ravel()[:n]).tolist()
+    starts = np.zeros((block, count), bool)
+    for i, row in enumerate(grid):
+        at = state + row * states
+        starts[i], state = gives[at], step[at]
+    return np.flatnonzero(starts.T.ravel()[:n])
+
+
+#: Tokens that are run at once.
+RUN = 1_000_000
+
+
+def batch_starts(texts: list[str | None]) -> list[list[int]]:
+    """Positions of the first characters of each text's sentences."""
+    found: list[list[int]] = [[] for _ in texts]
+    owners: list[tuple[int, list[int], list[int] | None]] = []
+    codes: list[int] = []
+
+    def run() -> None:
+        if not owners:
+            return
+        hits, at = run_blocks(np.array(codes, np.int32)), 0
+        for k, places, kept in owners:
+            own = hits[np.searchsorted(hits, at) : np.searchsorted(hits, at + len(places))] - at
+            found[k] = [places[i] if kept is None else kept[places[i]] for i in own.tolist()]
+            at += len(places) + 1
+        owners.clear()
+        codes.clear()
+
+    for k, text in enumerate(texts):
+        if not text or text.isspace():
+            continue
+        view, kept = plain_view(text)  # abbreviations may hold look-alikes or invisible signs
+        own, places = tokens(view)
+        codes += own
+        codes.append(_FIXED["para"])
+        owners.append((k, places, kept))
+        if len(codes) >= RUN:
+            run()
+    run()
+    return found
 
 
-def sentence_starts(text: str | None) -> list[int]:
-    """Positions of the first characters of a text's sentences."""
-    if not text or text.isspace():
-        return []
-    view, kept = plain_view(text)  # abbreviations may hold look-alikes or invisible signs
-    codes, places = tokens(view)
-    found = run_serial(codes) if len(codes) < 2 * BLOCK else run_blocks(codes)
-    return [places[i] if kept is None else kept[places[i]] for i in found]
+def spans_of(text: str | None, starts: list[int]) -> list[tuple[int, int]]:
+    """Start and end of each sentence; white space between them belongs to neither."""
+    return [(a, a + len(text[a:b].rstrip())) for a, b in zip(starts, [*starts[1:], len(text or "")])]
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """Start and end of each sentence; white space between them belongs to neither."""
-    starts = sentence_starts(text)
-    return [(a, a + len(text[a:b].rstrip())) for a, b in zip(starts, [*starts[1:], len(text or "")])]
+    """Start and end of each sentence of one text."""
+    return spans_of(text, batch_starts([text])[0])
 
 
 def split(texts: DataFrame) -> DataFrame:
@@ -307,8 +324,8 @@ def split(texts: DataFrame) -> DataFrame:
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            out.extend((doc, k, a, text[a:b]) for k, (a, b) in enumerate(sentence_spans(text), 1))
+        for doc, text, starts in zip(batch["doc_id"], batch["text"], batch_starts(batch["text"].tolist())):
+            out.extend((doc, k, a, text[a:b]) for k, (a, b) in enumerate(spans_of(text, starts), 1))
         return pd.DataFrame(out, columns=["doc_id", "sent_no", "start_at", "sentence"])
 
     return per_batch(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, sent_no int, start_at int, sentence string")

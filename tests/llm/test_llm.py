@@ -328,10 +328,24 @@ def test_sentences():
     assert sentences.sentence_spans(None) == sentences.sentence_spans("") == sentences.sentence_spans(" \n ") == []
 
 
-@given(st.lists(st.integers(0, len(sentences.SYMBOLS) - 1), min_size=1, max_size=400), st.integers(1, 60))
+@given(st.lists(st.integers(0, len(sentences.SYMBOLS) - 1), min_size=1, max_size=400), st.one_of(st.none(), st.integers(1, 60)))
 @settings(max_examples=80, deadline=None)
 def test_blocks_equal_the_serial_run(codes, block):
-    assert sentences.run_blocks(codes, block) == sentences.run_serial(codes)
+    to, out = sentences.transducer()
+    state, want = 0, []
+    for i, c in enumerate(codes):
+        if out[state, c]:
+            want.append(i)
+        state = to[state, c]
+    assert sentences.run_blocks(sentences.np.array(codes), block).tolist() == want
+
+
+def test_texts_of_a_batch_are_apart(monkeypatch):
+    items = ["(An open bracket. It never ends", None, "A b. C d.", "", "„Auf. Zu", "No", "x. " * 3000, "End. \n\n ", "Tail!"]
+    alone = [sentences.batch_starts([x])[0] for x in items]
+    assert sentences.batch_starts(items) == alone and alone[2] == [0, 5] and len(alone[6]) == 1
+    monkeypatch.setattr(sentences, "RUN", 20)
+    assert sentences.batch_starts(items) == alone
 
 
 def test_sentence_query(spark):
