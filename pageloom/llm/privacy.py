@@ -1,8 +1,9 @@
 """Problem 4: personal information inside free text.
 
-Cues (labels, street words, the words around a name) are found by one
-Aho-Corasick automaton; an exact shape is then read at each cue. Phones are
-read by the public numbering formats, e-mails at their sign.
+Persons' names are found by a trained recogniser (``names``). Cues of other kinds
+(labels, street words) are found by one Aho-Corasick automaton; an exact shape
+is then read at each cue. Phones are read by the public numbering formats,
+e-mails at their sign.
 
 Method: surrogate generation. Every entity gets a keyed replacement of the same
 type, script, letter case and format. Digits and letters go through a keyed
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 import re
+import secrets
 import unicodedata
 from functools import lru_cache
 
@@ -29,41 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm import names
 from pageloom.llm.common import page_and_web_texts, per_batch
 from pageloom.llm.folding import plain_view
 
 KINDS = ("email", "phone", "id", "address", "name")
-KEY = b"pageloom"
-
-_UP = "A-ZÀ-ÖØ-ÞŒŠŽ"
-_PART = rf"(?:[{_UP}]['’])?[{_UP}][\w'’]*\w"
-_W = rf"{_PART}(?:-{_PART})*"
-_CYR = r"[А-ЯЁ][а-яёА-ЯЁ]+(?:-[А-ЯЁ][а-яёА-ЯЁ]+)*"
-_ARA = r"[ء-غف-يٱکیہًٌٍَُِّْ]{2,}"
-#: A person's name: with a comma, an initial, or two or three words.
-_NAME = rf"(?:{_W},\s{_W}(?!\w)|(?:[{_UP}]\.\s?)+{_W}|{_W}(?:\s[{_UP}]\.)?\s{_W})"
-_NAME_RU = rf"(?:{_CYR},\s{_CYR}|(?:[А-ЯЁ]\.\s?)+{_CYR}|{_CYR}\s(?:{_CYR}\s)?{_CYR})"
-_NAME_AR = rf"{_ARA}\s{_ARA}"
-
-#: Words after which a person's name stands.
-NAME_AFTER = (
-    "ask for |write to |The tenant, |Thanks to |Signed by |signed by |I met |"
-    "fragen Sie nach |schreiben Sie an |Die Mieterin, |Der Mieter, |Unterschrieben von |Dank an |traf ich |"
-    "demandez |d'écrire à |d’écrire à |La locataire, |Le locataire, |signé par |Merci à |rencontré |croisé |"
-    "pregunte por |Escriba a |La inquilina, |El inquilino, |Firmado por |Gracias a |vi a |encontré a |"
-    "pergunte por |Escreva a |A inquilina, |O inquilino, |Assinado por |Obrigado a |Graças a |encontrei "
-).split("|")
-NAME_AFTER_RU = "спросите, где |отвечает |подписывает |На стойке |Спасибо |встретил |встретила |благодарим ".split("|")
-NAME_AFTER_AR = "السيد |السيدة |الاسم الكامل |الدكتور |الأستاذ ".split("|")
-#: Words before which a person's name stands.
-NAME_BEFORE = (
-    " presented |, lives at | near the lock and we|, wohnt | legte am Schalter|, habite | a présenté |, vive en | presentó |, mora em | apresentou "
-).split("|")
-NAME_BEFORE_AR = " في آخر صفحة| والهاتف|، يسكن| يسكن ".split("|")
-#: Titles that don't belong to the name.
-_TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|M|Mme|Mlle|Sr|Sra|Srta|D|Dña|Hr|Fr|Me)\.?\s|(?:Frau|Herrn?|Madame|Monsieur|Señora?|doña|don|dona|Dona|Dom|Senhora?|Mme|Mlle|Miss|the late)\s)"
-
-_TITLED = re.compile(rf"({_TITLE}){_NAME}\Z")
+_UP, _W, _CYR, _ARA = names.UP, names.WORD, names.CYR, names.ARA
 
 #: Labels of identity numbers and the shapes of the numbers.
 ID_LABELS = {
@@ -115,6 +89,11 @@ _PHONE = re.compile(
 )
 
 
+#: An identity number whose shape tells it also without a label; not behind words for other numbers.
+_SSN = re.compile(r"(?<![\w.,/#:-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w/-]|\.\d)")
+_REFERENCE = re.compile(r"(?:order|ref(?:erence)?|file|part|lot|item|invoice|model|serial|ticket|case|code|version|room|call|phone|tel|fax)\W{0,3}(?:(?:no|nr|number|#)\W{0,3})?\Z", re.IGNORECASE)
+
+
 class _Scanner:
     """The compiled cues and shapes of one Python worker."""
 
@@ -128,18 +107,6 @@ class _Scanner:
         def add(cue: str, kind: str, shape: object) -> None:
             every.setdefault(cue, []).append((kind, shape))
 
-        name, name_ru, name_ar = c(rf"(?:{_TITLE})*({_NAME})"), c(rf"({_NAME_RU})"), c(rf"(?:السيدة?\s)?({_NAME_AR})")
-        for cue in NAME_AFTER:
-            add(cue, "name", name)
-        for cue in NAME_AFTER_RU:
-            add(cue, "name", name_ru)
-        for cue in NAME_AFTER_AR:
-            add(cue, "name", name_ar)
-        before = c(rf"(?:(?<=[^\w\s,;-])\s+|(?<=\d)\s|\A\s*|{_TITLE}|,\s)({_NAME})\Z|({_W}\s{_W})\Z")
-        for cue in NAME_BEFORE:
-            add(cue, "name_back", before)
-        for cue in NAME_BEFORE_AR:
-            add(cue, "name_ar", c(rf"(?<!\w)({_NAME_AR})\Z"))
         for label, shape in ID_LABELS.items():
             add(label, "id", c(rf"(?:\s?(?:no\.?|Nr\.?|n\.?º|number|№))?\s?[:#]?\s?({shape})(?!\w)"))
         end = "|".join(map(re.escape, STREET_ENDS))
@@ -177,27 +144,14 @@ class _Scanner:
                 out.append((m.start(), m.end(), "email"))
         for x in _PHONE.finditer(s):
             out.append((x.start(), x.end(), "phone"))
+        out += [(a, b, "name") for a, b, _ in names.find(s)]
+        for x in _SSN.finditer(s):
+            if not _REFERENCE.search(s[max(0, x.start() - 24) : x.start()]):
+                out.append((x.start(), x.end(), "id"))
         for last, (size, what) in self.cues.iter(s):
             end, start = last + 1, last + 1 - size
             for kind, shape in what:
-                if kind == "name":
-                    m = shape.match(s, end)
-                    if m:
-                        title = _TITLED.match(m.group(1))
-                        out.append((m.start(1) + (title.end(1) if title else 0), m.end(1), "name"))
-                elif kind == "name_back":
-                    low = max(0, start - 80)
-                    m = shape.search(s[low:start])
-                    if m:
-                        g = 1 if m.group(1) else 2
-                        title = _TITLED.match(m.group(g))
-                        out.append((low + m.start(g) + (title.end(1) if title else 0), low + m.end(g), "name"))
-                elif kind == "name_ar":
-                    low = max(0, start - 40)
-                    m = shape.search(s[low:start])
-                    if m:
-                        out.append((low + m.start(1), low + m.end(1), "name"))
-                elif kind == "id":
+                if kind == "id":
                     if start and s[start - 1].isalnum():
                         continue
                     m = shape.match(s, end)
@@ -285,54 +239,40 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
 
 # --- surrogates -------------------------------------------------------------
 
-#: Given names by gender, of one script each.
-GIVEN = (
-    (
-        "Ada Agnes Agathe Alice Alicia Amanda Amélie Ana Andrea Angela Anita Anja Ann Anna Anne Anneliese Antonia Apolline Astrid Barbara Bea Beatrice Beatriz Benedita Berta Birgit Brigitte Camila Camille Carla Carmen Carolina "
-        "Caroline Catarina Catherine Cécile Céline Charlotte Chloé Christine Clara Claire Claudia Cora Cristina Dagmar Daniela Diana Dolores Dora Dorothea Edda Edith Elena Eleanor Elisabeth Elizabeth Élodie Emilia Emily Emma Erika Esther Eva Evelyn "
-        "Fátima Fay Fernanda Florence Frauke Frieda Gabriela Geneviève Gisela Gloria Grace Graça Greta Gudrun Hanna Hannah Heike Helen Helena Helga Hélène Hester Hilda Hildegard Ida Imogen Inès Inês Ingrid Irene Iria Iris Irma Isabel "
-        "Isabella Itziar Jana Jane Janet Jeanne Jennifer Jessica Joana Johanna Josefa Judith Julia Juliette June Karen Karin Katharina Kay Laura Lena Leonor Lina Linda Lisa Louise Lourdes Lucía Lucie Luisa Lydia Maëlle Mara Margaret Margarida Margot "
-        "María Maria Mariana Marie Marina Marion Marta Martha Martina Mary Mathilde Matilde Mercedes Mia Michelle Miriam Mona Monica Monika Nadia Nancy Natalia Nathalie Nell Nina Nora Nuria Odile Olga Olivia Patricia Paula Pauline Petra Pilar Rachel "
-        "Rebecca Regina Remedios Renate Rita Rosa Rosalie Rosario Ruth Sabine Sandra Sara Sarah Silke Silvia Simone Sofía Sofia Solène Sonia Sophie Stefanie Susan Susana Susanne Sylvie Teresa Tessa Thea Theresa Uma Ulrike Ursula Valentina Valérie Vera "
-        "Verónica Victoria Virginie Wanda Wiebke Yara Yolanda Yvonne Zoe"
-    ).split(),
-    (
-        "Abel Adam Adrian Albert Alberto Alexander Alexandre Alfred Alfonso Álvaro Anacleto Andreas Andrew André Andrés Anselmo Anthony Antoine António Antonio Armand Arnaud Arthur Artur Axel Barnaby Bastien Benjamin Benoît Bernard Bernd Bernhard Boris "
-        "Brian Bruno Carl Carlos Charles Christian Christoph Claude Clive Cristóbal Damien Daniel David Dean Denis Detlef Diego Dieter Dietmar Dominik Donald Duarte Eckhard Edmund Eduardo Edward Edwin Egon Emil Emilio Enrique Eric Ernst Esteban Étienne "
-        "Eugen Eusebio Fabian Felipe Felix Fermín Fernando Filipe Florian Francis Francisco Franck François Frank Frédéric Friedrich Gabriel Gaspar Gaspard Geoffrey George Georg Gerald Gérard Gerhard Gilles Gonçalo Gonzalo Gordon Graham Gregor Guillaume "
-        "Guillermo Gustav Gustavo Hans Harald Harold Hartmut Heinrich Heinz Henri Henrique Henry Herbert Hermann Hilario Horst Hubert Hugo Ian Ignacio Ivan Jacob Jacques Jakob James Javier Jean Jens Joachim João Joaquim Joaquín Johann Johannes John Jonas "
-        "Jonathan Jordi Jorge Jörg José Joseph Juan Jules Julien Jürgen Karl Keith Kenneth Kevin Klaus Konrad Kurt Lars Laurent Leon Leonard Lothar Louis Luc Lucas Ludwig Luis Luís Manfred Manuel Marc Marcel Marco Marcos Mario Mark Markus Martin Mateus "
-        "Mathieu Matthew Matthias Maurice Max Michael Michel Miguel Moritz Nicolas Nigel Nils Norbert Nuno Oliver Olivier Oskar Óscar Otto Pablo Pascal Patrick Paul Paulo Pedro Peter Philip Philippe Pierre Rafael Rainer Ralf Ramón Raúl Raymond Régis Rémi "
-        "René Ricardo Richard Robert Roberto Rodrigo Roger Roland Rolf Rowan Rui Samuel Santiago Sebastian Sergio Siegfried Simão Simon Stefan Stephen Steven Sven Theo Thibaut Thierry Thomas Tiago Timothy Tobias Tomás Tomé Udo Ulrich Uwe Vasco Vicente "
-        "Victor Viktor Vincent Volker Walter Werner Wilhelm William Wolfgang Xavier Yves Zeno"
-    ).split(),
-    (
-        "Агата Агафья Аглая Александра Алина Алиса Алла Анастасия Анна Антонина Анфиса Валентина Валерия Варвара Василиса Вера Вероника Виктория Галина Дарья Диана Евгения Евдокия Екатерина Елена Елизавета Жанна Зинаида Злата Зоя "
-        "Инна Ирина Кира Клавдия Ксения Лариса Лидия Любовь Людмила Маргарита Марина Мария Марфа Матрёна Милана Надежда Наталья Наталия Нина Оксана Олеся Ольга Пелагея Полина Прасковья Раиса Регина Римма Светлана Серафима София Софья "
-        "Таисия Тамара Татьяна Ульяна Фаина Фёкла Юлия Яна"
-    ).split(),
-    (
-        "Александр Алексей Анатолий Андрей Антон Аркадий Арсений Артём Богдан Борис Вадим Валентин Валерий Василий Виктор Виталий Владимир Владислав Всеволод Вячеслав Геннадий Георгий Герман Глеб Григорий Даниил Денис Дмитрий Евгений Егор "
-        "Ефим Захар Иван Игнат Игорь Илья Иосиф Кирилл Константин Лев Леонид Лука Макар Максим Марк Матвей Михаил Никита Николай Олег Остап Павел Пётр Прохор Роман Руслан Савелий Святослав Семён Сергей Станислав Степан Тарас Тимофей "
-        "Тимур Тихон Фёдор Филипп Эдуард Юрий Яков Ярослав"
-    ).split(),
-    "رحمة نزهة غيثة زهور فاطمة عائشة خديجة مريم زينب ليلى سعاد سميرة نادية حليمة سلمى أمينة كريمة لطيفة مليكة نجاة هند ياسمين سناء حنان بشرى فوزية رقية صفية جميلة نعيمة سمية هدى إيمان أسماء رجاء وفاء منى سارة نورة لمياء".split(),
-    "بوشتى الطاهر العربي المكي محمد أحمد علي حسن حسين عمر عثمان يوسف إبراهيم إسماعيل خالد سعيد كريم رشيد حميد مصطفى إدريس عزيز جمال كمال طارق ياسين هشام نبيل فؤاد سليمان موسى عيسى أيوب حمزة بلال أنس رضا مراد المهدي الحسين".split(),
-)
-_GENDER = {name: k for k, pool in enumerate(GIVEN) for name in pool}
-
-
 @lru_cache(maxsize=8)
 def _next_given(key: bytes) -> dict[str, str]:
     """The name that follows each given name in its pool's keyed order."""
-    orders = [sorted(pool, key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest()) for pool in GIVEN]
+    orders = [sorted(pool, key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest()) for pool in names.GIVEN]
     return {a: b for order in orders for a, b in zip(order, [*order[1:], order[0]])}
 
 
-_ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "0123456789", "٠١٢٣٤٥٦٧٨٩", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي")
+#: Letters and digits that may take each other's place, each kind by itself.
+_ALPHABETS = (
+    "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿāăąēėęěīįōőœūůűų", "çćčďđģğķļľłńņňñŕřśşšţťŵźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "ґєіїјљњћќўџђѓѕ",
+    "0123456789", "٠١٢٣٤٥٦٧٨٩", "०१२३४५६७८९", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "أإآةىئءؤ", "پچژگکی", "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώ",
+)
+#: Ranges of letters, and of vowel signs, of further scripts.
+_RANGES = ((0x0905, 0x0914), (0x0915, 0x0939), (0x093E, 0x094C), (0x0E01, 0x0E2E), (0x05D0, 0x05EA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 _PLACE = {ch: (a, i) for a in _ALPHABETS for i, ch in enumerate(a)}
 
 
+def _place(ch: str) -> tuple[str | range, int] | None:
+    """The signs that can take a character's place, and its place among them; None for what isn't a letter or digit."""
+    own = _PLACE.get(ch)
+    if own or not (ch.isalnum() or 0x093E <= ord(ch) <= 0x094C):
+        return own
+    low, high = next((r for r in _RANGES if r[0] <= ord(ch) <= r[1]), (ord(ch) & ~15, ord(ch) | 15))
+    signs = [c for c in range(low, high + 1) if chr(c) == ch or chr(c).isalnum() and not chr(c).isupper() or 0x093E <= c <= 0x094C] if high - low < 100 else range(low, high + 1)
+    return ("".join(map(chr, signs)), signs.index(ord(ch))) if isinstance(signs, list) else (signs, ord(ch) - low)
+
+
+@lru_cache(maxsize=1)
+def own_key() -> bytes:
+    """The key in ``PAGELOOM_SURROGATE_KEY``; without one a random key of this driver, known to nobody, so that surrogates agree within a run only."""
+    given = os.environ.get("PAGELOOM_SURROGATE_KEY")
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def _stream(key: bytes, label: str, n: int) -> bytes:
     out, block = b"", 0
     while len(out) < n:
@@ -341,50 +281,69 @@ def _stream(key: bytes, label: str, n: int) -> bytes:
     return out[:n]
 
 
-def cipher(word: str, key: bytes = KEY, rounds: int = 4) -> str:
-    """A string of the same shape: vowels, consonants and digits stay such, the rest stays as it is.
+def _feistel(values: list[int], sizes: list[int], key: bytes, mask: str, rounds: int, back: bool) -> None:
+    """Rounds of a network over the two halves of the values, or the same backwards."""
+    half = max(1, len(values) // 2)
+    for r in reversed(range(rounds)) if back else range(rounds):
+        left, right = range(half), range(half, len(values))
+        target, source = (left, right) if r % 2 else (right, left)
+        noise = _stream(key, f"{r}|{mask}|{[values[i] for i in source]}", 2 * len(target) or 1)
+        for k, i in enumerate(target):
+            step = noise[2 * k] * 256 + noise[2 * k + 1]
+            values[i] = (values[i] + (-step if back else step)) % sizes[i]
 
-    A Feistel network over the two halves of the string's signs: a bijection of
-    the strings of one shape, so different strings stay different.
+
+def cipher(word: str, key: bytes, rounds: int = 4) -> str:
+    """A string of the same shape: each letter and digit becomes another of its kind, the rest stays as it is.
+
+    The string's signs go through a keyed Feistel network, one is added to the
+    number they then are, and the network is undone: a bijection of the strings
+    of one shape that leaves none as it was.
     """
     base = unicodedata.normalize("NFC", word)
-    shape = [(ch, _PLACE.get(ch.lower())) for ch in base]
-    slots = [i for i, (_, p) in enumerate(shape) if p]
+    shape = [_place(ch.lower() if len(ch.lower()) == 1 else ch) for ch in base]
+    slots = [i for i, p in enumerate(shape) if p and len(p[0]) > 1]
     if not slots:
         return word
-    values = [shape[i][1][1] for i in slots]
-    sizes = [len(shape[i][1][0]) for i in slots]
-    half = max(1, len(slots) // 2)
-    mask = "".join("." if p else ch for ch, p in shape) + repr(sizes)
-    for r in range(rounds):
-        left, right = range(half), range(half, len(slots))
-        target, source = (left, right) if r % 2 else (right, left)
-        noise = _stream(key, f"{r}|{mask}|{[values[i] for i in source]}", 2 * len(target) or 1)
-        for k, i in enumerate(target):
-            values[i] = (values[i] + noise[2 * k] * 256 + noise[2 * k + 1]) % sizes[i]
-    if len(slots) == 1:
-        values[0] = (values[0] + 1 + _stream(key, mask, 1)[0] % max(1, sizes[0] - 1)) % sizes[0]
+    values, sizes = [shape[i][1] for i in slots], [len(shape[i][0]) for i in slots]
+    mask = "".join("." if p else ch for ch, p in zip(base, shape)) + repr(sizes)
+    _feistel(values, sizes, key, mask, rounds, False)
+    for i, size in enumerate(sizes):
+        values[i] = (values[i] + 1) % size
+        if values[i]:
+            break
+    _feistel(values, sizes, key, mask, rounds, True)
     out = list(base)
     for i, v in zip(slots, values):
-        ch = shape[i][1][0][v]
-        out[i] = ch.upper() if base[i].isupper() else ch
+        ch = shape[i][0][v]
+        ch = chr(ch) if isinstance(ch, int) else ch
+        out[i] = ch.upper() if base[i].isupper() and len(ch.upper()) == 1 else ch
     return "".join(out)
 
 
+#: Endings of Russian family names and patronymics, which differ by gender.
+_ENDINGS = ("овична", "евична", "ович", "евич", "ская", "ский", "цкая", "цкий", "ова", "ева", "ёва", "ина", "ына", "ов", "ев", "ёв", "ин", "ын")
+
+
+def _gender_ending(word: str) -> str:
+    return next((e for e in _ENDINGS if word.endswith(e) and len(word) > len(e) + 1), "")
+
+
 @lru_cache(maxsize=100_000)
 def _word_surrogate(word: str, key: bytes) -> str:
     """Surrogate of one part of a name: pool names permute among their gender, others are ciphered out of the pool."""
     low = word.lower()
-    if low.capitalize() in _GENDER:
+    if low.capitalize() in names.GENDER:
         new = _next_given(key)[low.capitalize()]
         return new.upper() if word.isupper() else new.lower() if word.islower() and low != low.capitalize() else new
-    new = cipher(low, key)
-    while new.capitalize() in _GENDER:
-        new = cipher(new, key)
+    end = _gender_ending(low)
+    new = cipher(low.removesuffix(end), key) + end
+    while new.capitalize() in names.GENDER or _gender_ending(new) != end:
+        new = cipher(new.removesuffix(end), key) + end
     return new.upper() if word.isupper() and len(word) > 1 else new.capitalize() if word[:1].isupper() else new
 
 
-def surrogate(value: str, kind: str, key: bytes = KEY) -> str:
+def surrogate(value: str, kind: str, key: bytes) -> str:
     """A keyed replacement of the same type and format; the same entity always gets the same one."""
     if kind in ("name", "email"):
         local, at, domain = re.match(r"(.*?)(\s?(?:@|＠|\[at\]|\(at\)|\{at\}|\(a\)|\[arroba\]|\(arroba\))\s?)?([^@＠]*)\Z" if kind == "email" else r"(.*)()()\Z", value, re.DOTALL).groups()
@@ -412,7 +371,7 @@ def surrogate(value: str, kind: str, key: bytes = KEY) -> str:
     return cipher(value, key)
 
 
-def rewrite(text: str | None, key: bytes = KEY) -> tuple[str | None, str | None]:
+def rewrite(text: str | None, key: bytes) -> tuple[str | None, str | None]:
     """The text with placeholders, and with surrogates, in place of its entities."""
     if not text:
         return text, text
@@ -424,8 +383,9 @@ def rewrite(text: str | None, key: bytes = KEY) -> tuple[str | None, str | None]
     return "".join(tagged) + text[at:], "".join(replaced) + text[at:]
 
 
-def redact(texts: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``doc_id, page, redacted, surrogate``: texts with typed placeholders, and with surrogates."""
+def redact(texts: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``doc_id, page, redacted, surrogate``: texts with typed placeholders, and with surrogates under ``key`` (``own_key()`` if none is given)."""
+    key = key or own_key()
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         rows = [rewrite(t, key) for t in batch["text"]]
@@ -451,8 +411,9 @@ def found(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return _values(page_and_web_texts(documents, pages).where("text is not null")).distinct()
 
 
-def collisions(found_values: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(found_values: DataFrame, key: bytes | None = None) -> DataFrame:
     """``kind, surrogate, n``: surrogates that stand for more than one value; empty if distinctness holds."""
+    key = key or own_key()
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         return batch.assign(surrogate=[surrogate(v, k, key) for k, v in zip(batch["kind"], batch["value"])])

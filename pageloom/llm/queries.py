@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom.llm import folding, languages, packing, privacy, scans, sentences, spans, splitting, tokens
 from pageloom.llm.common import page_and_web_texts, spread
@@ -40,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_folded": lambda s, d: folding.fold(both(s, d)).select("doc_id", "page", "folded"),
         "p7_ids": lambda s, d: tokens.encode(spread(t(s, d, "documents").select("doc_id", "text"))),
         "p7_round_trip": lambda s, d: tokens.round_trip(t(s, d, "documents")),
-        "p7_lossless": lambda s, d: tokens.round_trip(t(s, d, "documents")).select("doc_id", "n_bytes", "same"),
+        "p7_decoded": lambda s, d: tokens.decode(tokens.encode(spread(t(s, d, "documents").select("doc_id", "text")))).select("doc_id", F.md5("raw").alias("digest")),
         "p8_packed": lambda s, d: packing.pack_texts(t(s, d, "documents"), tokens.count, CAPACITY),
         "p9_found": lambda s, d: spans.shared_pairs(t(s, d, "documents")),
         "p9_intervals": lambda s, d: spans.removal_intervals(t(s, d, "documents")),
@@ -75,7 +76,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, 'hard' AS kind FROM o
             WHERE list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}.!?…。！？؟।]+'), lambda x: length(x))) > 6000
         """,
-        "p4_collisions": "SELECT '' AS kind, '' AS surrogate, 0::BIGINT AS n WHERE false",
         "p6_plain_kinds": """
             WITH x AS (SELECT doc_id, 0 AS page, text FROM documents UNION ALL SELECT doc_id, page, max(text) FROM page_text GROUP BY doc_id, page)
             SELECT DISTINCT doc_id, page, kind FROM (SELECT doc_id, page, unnest(list_filter([
@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN regexp_matches(text, '[\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]') THEN 'space' END
             ], lambda k: k IS NOT NULL)) AS kind FROM x)
         """,
-        "p7_lossless": "SELECT doc_id, coalesce(strlen(text), 0)::INTEGER AS n_bytes, true AS same FROM documents",
+        "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
         "p9_found": f"""
             WITH {_WINDOWS}
             SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.s = b.s AND a.doc_id < b.doc_id

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pageloom.llm import folding, languages, packing, privacy, scans, sentences, spans, splitting, tokens
+from pageloom.llm import folding, languages, names, packing, privacy, scans, sentences, spans, splitting, tokens
 from pageloom.llm.common import page_and_web_texts
+from tests.llm import held_out
 
 HERE = os.path.isfile(tokens.RANKS)
 DATA = "/root/testdata/sf0.001"
@@ -256,6 +257,51 @@ def test_texts_without_a_charset_are_read_again(spark):
 
 # --- 4 privacy ----------------------------------------------------------------
 
+KEY = b"a key of the tests"
+
+
+def test_names_in_held_out_sentences():
+    """Sentences and family names that the recogniser's training doesn't hold."""
+    asked = [(f.replace("{N}", n), n) for ns, fs in held_out.PERSONS.values() for n in ns.split("|") for f in fs.split("|")]
+    unknown = [(f.replace("{N}", n), n) for n in held_out.UNKNOWN.split("|") for f in held_out.WITH_TITLE.split("|")]
+    for cases in (asked, unknown):
+        right = sum([t[a:b] for a, b, k in privacy.entities(t) if k == "name"] == [n] for t, n in cases)
+        assert right >= 0.95 * len(cases) and len(cases) >= 40
+    wrong = [t for t in held_out.THINGS if any(k == "name" for _, _, k in privacy.entities(t))]
+    assert len(wrong) <= 0.06 * len(held_out.THINGS), wrong
+    training = {f for f in (names.WITH_PERSON + names.WITHOUT).replace("\n", "|").split("|") if f}
+    held = {f for _, fs in held_out.PERSONS.values() for f in fs.split("|")}
+    assert not training & held
+
+
+def test_numbers_without_a_label():
+    assert [t[a:b] for t in ["Her number is 123-45-6789."] for a, b, k in privacy.entities(t) if k == "id"] == ["123-45-6789"]
+    for none in ("Order no. 123-45-6789", "part 123-45-6789", "000-45-6789", "123-45-67890", "123-00-6789"):
+        assert not [k for _, _, k in privacy.entities(none) if k == "id"], none
+
+
+def test_surrogates_cover_every_letter():
+    for name in ("José Núñez", "王小明", "山田たろう", "राम कुमार", "สมชาย ใจดี", "Łukasz Żółć", "Ørsted Åse", "Гордеева Іванна", "홍길동", "Αντώνης Παπάς"):
+        for word in unicodedata.normalize("NFC", name).split():
+            new = privacy.surrogate(word, "name", KEY)
+            assert new != word and (word in names.GENDER or len(new) == len(word))
+            assert word in names.GENDER or sum(a == b for a, b in zip(new, word) if a.isalpha()) <= max(1, len(word) // 2), (word, new)
+    assert privacy.surrogate("Velova", "name", KEY) != privacy.surrogate("Velov", "name", KEY)
+    for female, male in (("Зеленцова", "Зеленцов"), ("Белогорская", "Белогорский")):
+        assert privacy.surrogate(female, "name", KEY)[-2:] == female[-2:] and privacy.surrogate(male, "name", KEY)[-2:] == male[-2:]
+
+
+def test_key_comes_from_the_environment(monkeypatch):
+    privacy.own_key.cache_clear()
+    monkeypatch.setenv("PAGELOOM_SURROGATE_KEY", "secret")
+    assert privacy.own_key() == b"secret"
+    privacy.own_key.cache_clear()
+    monkeypatch.delenv("PAGELOOM_SURROGATE_KEY")
+    first = privacy.own_key()
+    assert len(first) == 32 and privacy.own_key() == first
+    privacy.own_key.cache_clear()
+    assert privacy.own_key() != first
+
 
 def test_entities():
     cases = {
@@ -277,21 +323,21 @@ def test_entities():
 @given(st.text(alphabet="abcxyz019-. ABC", min_size=1, max_size=6), st.text(alphabet="abcxyz019-. ABC", min_size=1, max_size=6))
 @settings(max_examples=300, deadline=None)
 def test_cipher_keeps_shape_and_distinctness(a, b):
-    x, y = privacy.cipher(a), privacy.cipher(b)
+    x, y = privacy.cipher(a, KEY), privacy.cipher(b, KEY)
     shape = lambda s: [("d" if c.isdigit() else "v" if c.lower() in "aeiouy" else "c" if c.isalpha() else c, c.isupper()) for c in s]
-    assert shape(x) == shape(a) and (x == y) == (a == b)
+    assert shape(x) == shape(a) and (x == y) == (a == b) and (x != a or not any(c.isalnum() for c in a))
 
 
 def test_surrogates_keep_coreference(spark):
-    name = privacy.surrogate("Gordon Velucci", "name")
+    name = privacy.surrogate("Gordon Velucci", "name", KEY)
     given_, family = name.split()
-    assert privacy.surrogate("VELUCCI, Gordon", "name") == f"{family.upper()}, {given_}"
-    assert privacy.surrogate("gordon.velucci@hulwick.test", "email").split("@")[0] == f"{given_}.{family}".lower()
-    assert privacy.surrogate("148 boulevard des Kelcasornes", "address").split()[1:3] == ["boulevard", "des"]
+    assert privacy.surrogate("VELUCCI, Gordon", "name", KEY) == f"{family.upper()}, {given_}"
+    assert privacy.surrogate("gordon.velucci@hulwick.test", "email", KEY).split("@")[0] == f"{given_}.{family}".lower()
+    assert privacy.surrogate("148 boulevard des Kelcasornes", "address", KEY).split()[1:3] == ["boulevard", "des"]
     assert privacy.surrogate("Gordon Velucci", "name", b"other") != name
     values = spark.createDataFrame([("name", f"{g} {f}") for g in ("Ann", "Ada", "Bea", "Boris") for f in ("Velucci", "Velocci", "Rask")] + [("phone", f"0163{i:07d}") for i in range(500)], "kind string, value string")
-    assert privacy.collisions(values).count() == 0
-    tagged, _ = privacy.rewrite("Call 201-555-0145 and ask for Nell Chamabal.")
+    assert privacy.collisions(values, KEY).count() == 0
+    tagged, _ = privacy.rewrite("Call 201-555-0145 and ask for Nell Chamabal.", KEY)
     assert tagged == "Call [PHONE] and ask for [NAME]."
     pages = spark.createDataFrame([(7, 1, "Call 201-555-0145."), (7, 1, "Call 201-555-0145."), (7, 2, None)], "doc_id long, page int, text string")
     web = texts(spark, [(1, "Call\n(201) 555-0145 now."), (2, None), (3, "")])
@@ -302,13 +348,13 @@ def test_surrogates_keep_coreference(spark):
 def test_given_names_keep_their_gender_and_script(spark):
     women = "Nell Mara Hester Imogen Inès Odile Nuria Lourdes Варвара Марфа Злата غيثة نزهة".split()
     men = "Barnaby Gordon Clive Thibaut Lothar Gonzalo Simão Игнат Тихон Прохор بوشتى المكي".split()
-    female, male = (set(sum((list(pool) for pool in privacy.GIVEN[k::2]), [])) for k in (0, 1))
-    for names, pool in ((women, female), (men, male)):
-        for x in names:
-            new = privacy.surrogate(x, "name")
+    female, male = (set(sum((list(pool) for pool in names.GIVEN[k::2]), [])) for k in (0, 1))
+    for given_names, pool in ((women, female), (men, male)):
+        for x in given_names:
+            new = privacy.surrogate(x, "name", KEY)
             assert new != x and new in pool and [unicodedata.name(c).split()[0] for c in (x[0], new[0])] == [unicodedata.name(x[0]).split()[0]] * 2
-    every = [x for pool in privacy.GIVEN for x in pool]
-    assert len(every) == len(set(every)) == len({privacy.surrogate(x, "name") for x in every})
+    every = [x for pool in names.GIVEN for x in pool]
+    assert len(every) == len(set(every)) == len({privacy.surrogate(x, "name", KEY) for x in every})
 
 
 # --- 5 sentences --------------------------------------------------------------
