@@ -118,6 +118,7 @@ _LABEL = re.compile(r"(?:name|author|by|contact|from|to|attn|signed|cc|owner|ten
 _LATIN = re.compile(rf"(?<![\w@.'’-])(?:(?P<i>[{UP}]\.)(?=\s?(?:[{UP}]\.|{WORD}|{_PARTICLE}\s))|(?P<w>{WORD}))(?![\w@])")
 _CYRILLIC = re.compile(rf"(?<![\w@.-])(?:(?P<i>[А-ЯЁ]\.)|(?P<w>{CYR}))(?![\w@])")
 _ARABIC = re.compile(rf"(?<![^\W_]){ARA}(?![^\W_])")
+_HAS_LATIN, _HAS_CYRILLIC, _HAS_ARABIC = re.compile(f"[{UP}]"), re.compile("[А-ЯЁ]"), re.compile("[ء-ي]")
 _GAP = re.compile(rf"\s(?:{_PARTICLE}\s)?\Z")
 _PREVIOUS = re.compile(r"([^\W\d_]+)([^\w]*)\Z")
 _NEXT = re.compile(r"(\W*)(\w+)")
@@ -144,17 +145,23 @@ def known(word: str) -> str | None:
 
 def _candidates(s: str):
     """``start, end, form, first, last, given`` of each run of words that is written like a name; ``given`` is where the given name stands."""
-    for pattern in (_LATIN, _CYRILLIC):
+    for pattern, some in ((_LATIN, _HAS_LATIN), (_CYRILLIC, _HAS_CYRILLIC)):
+        if not some.search(s):
+            continue
         run: list[tuple[int, int, bool]] = []
         last_end = -1
         for x in pattern.finditer(s):
-            token = (x.start(), x.end(), x.group("i") is not None)
-            if not run or not _joined(s, last_end, token[0]):
-                yield from _of_run(s, run)
+            start, end = x.span()
+            if run and not (start == last_end + 1 and s[last_end].isspace() or _joined(s, last_end, start)):
+                if len(run) > 1:
+                    yield from _of_run(s, run)
                 run = []
-            run.append(token)
-            last_end = token[1]
-        yield from _of_run(s, run)
+            run.append((start, end, x.lastgroup == "i"))
+            last_end = end
+        if len(run) > 1:
+            yield from _of_run(s, run)
+    if not _HAS_ARABIC.search(s):
+        return
     words = [x.span() for x in _ARABIC.finditer(s)]
     for (a, b), (c, d) in zip(words, words[1:]):
         if c == b + 1 and s[b].isspace():
@@ -162,8 +169,10 @@ def _candidates(s: str):
 
 
 def _joined(s: str, end: int, start: int) -> bool:
+    if start - end > 11:
+        return False
     gap = s[end:start]
-    return gap in ("", " ", ", ") or len(gap) == 1 and gap.isspace() or len(gap) < 12 and bool(_GAP.match(gap))
+    return gap in ("", ", ") or bool(_GAP.match(gap))
 
 
 def _of_run(s: str, run: list[tuple[int, int, bool]]):
@@ -220,6 +229,24 @@ def _around(s: str, start: int, end: int) -> tuple[int, str, str, str, str]:
     return cut, prev, before, nxt, behind
 
 
+#: The last word of a title, as it stands before a name.
+_TITLE_WORDS = set("dr prof mr mrs ms m mme mlle sr sra srta d dña hr fr me rev capt frau herr herrn madame monsieur señor señora doña don dona dom senhor senhora miss late doctor professor sir lady doktor docteur doctora doutor doutora professeur господин госпожа г-н г-жа доктор профессор السيد السيدة الدكتور الدكتورة الأستاذ الأستاذة الآنسة".split())
+
+
+def _worth(s: str, candidate: tuple) -> bool:
+    """Whether anything may speak for a person, by a quick look at the words beside."""
+    start, end, form, first, _, given = candidate
+    if form == "initials" or given and known(given) or first.lower() in _TITLE_WORDS:
+        return True
+    before = s[max(0, start - 40) : start].rstrip()
+    before = before[before.rfind(" ") + 1 :]
+    if before[-1:] in (":", ";", "=", "-", "–", "—") or before.strip(".,").lower() in _TITLE_WORDS or before.strip(",:—–-").lower() in BEFORE:
+        return True
+    after = s[end : end + 40].lstrip(" ,")
+    stop = after.find(" ")
+    return after[: stop if stop > 0 else len(after)].strip(".;:!?»”\"'()").lower() in AFTER
+
+
 def features(s: str, candidate: tuple) -> list[str] | None:
     """Names of a candidate's features; None if nothing speaks for a person."""
     start, end, form, first, last, given = candidate
@@ -345,7 +372,7 @@ def find(s: str) -> list[tuple[int, int, float]]:
     """Start, end and score (above 0: more probably a name than not) of the persons' names of a text, titles left out."""
     weights, scored = model(), []
     for x in _candidates(s):
-        f = features(s, x)
+        f = features(s, x) if _worth(s, x) else None
         if f:
             score = sum(weights.get(k, 0.0) for k in f)
             if score > 0:
