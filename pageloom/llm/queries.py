@@ -44,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_decoded": lambda s, d: tokens.decode(tokens.encode(spread(t(s, d, "documents").select("doc_id", "text")))).select("doc_id", F.md5("raw").alias("digest")),
         "p8_packed": lambda s, d: packing.pack_texts(t(s, d, "documents"), tokens.count, CAPACITY),
         "p9_found": lambda s, d: spans.shared_pairs(t(s, d, "documents")),
+        "p9_links": lambda s, d: spans.links(t(s, d, "documents")),
         "p9_intervals": lambda s, d: spans.removal_intervals(t(s, d, "documents")),
         "p9_shared": lambda s, d: spans.shared_amount(t(s, d, "documents")),
     }
@@ -90,6 +91,13 @@ def oracle_sql() -> dict[str, str]:
             WITH {_WINDOWS}
             SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.s = b.s AND a.doc_id < b.doc_id
         """,
+        "p9_links": f"""
+            WITH {_WINDOWS},
+            p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM hits a JOIN hits b ON a.s = b.s AND a.doc_id <> b.doc_id),
+            c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM t)
+            SELECT d.doc_id, coalesce(any_value(c.class_id), d.doc_id) AS class_id, count(p.y) AS n_links
+            FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN c USING (doc_id) LEFT JOIN p ON p.x = d.doc_id GROUP BY d.doc_id
+        """,
         "p9_intervals": f"""
             WITH {_WINDOWS}, {_ISLANDS}
             SELECT doc_id, "start", "end" FROM spans

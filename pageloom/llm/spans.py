@@ -10,7 +10,10 @@ character, and the matches merge into maximal intervals.
 Exact copies are one class: only its first record takes part in the search.
 A window of few records compares each two of them; a window of many (boilerplate)
 is split into all its windows of the full length, which are grouped by content,
-so that no pair is looked at that doesn't share such a span.
+so that no pair is looked at that doesn't share such a span. The spans, their
+groups (which records hold them) and the number of links of each record come
+out without a list of pairs of copies; ``shared_pairs`` derives that last, with
+groups of any size cut into blocks of BLOCK_OF records.
 
 Defined results: null, empty and short texts share nothing (0 shared
 characters); repeated rows of a record count once; spans repeated within one
@@ -34,6 +37,10 @@ LEAST = 200
 WINDOW = 100
 #: Records that a window may have before it is split by content instead of compared in pairs.
 FEW = 64
+#: Records of a group that meet the whole group in one task.
+BLOCK_OF = 500
+#: Matches that are cut out of a text at once.
+SLICE = 5_000
 #: Characters of a text that are hashed at once.
 BLOCK = 1_000_000
 
@@ -146,13 +153,17 @@ def matches(documents: DataFrame, least: int = LEAST, k: int = WINDOW, key: str
     by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("hits"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", "h", "at", "n", "left", "mid", "right"]
         for batch in batches:
             out = []
             for doc, t, own in zip(batch["doc"], batch["text"], batch["hits"]):
                 for x in own:
                     at = x["at"]
                     out.append((doc, x["h"], at, x["n"], t[max(0, at - side) : at], t[at : at + k], t[at + k : at + k + side]))
-            yield pd.DataFrame(out, columns=["doc", "h", "at", "n", "left", "mid", "right"])
+                    if len(out) == SLICE:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            yield pd.DataFrame(out, columns=names)
 
     first = records.dropDuplicates(["doc"])
     around = written(
@@ -195,8 +206,8 @@ def matches(documents: DataFrame, least: int = LEAST, k: int = WINDOW, key: str
     shared = written(windows.join(groups.select("same", "n", "sum"), "same"), "shared")
     # windows with one same set of records give the same pairs: one of them stands for all
     sets = shared.groupBy("n", "sum").agg(F.min("same").alias("same")).select("same")
-    owners = shared.join(sets, "same", "left_semi").select("same", "doc").distinct()
-    many = owners.withColumnRenamed("doc", "a").join(owners.withColumnRenamed("doc", "b"), "same").where("a < b").select("a", "b")
+    owners = shared.join(sets, "same", "left_semi").select("same", "doc", "n").distinct()
+    many = _each_two(owners, "same", "doc").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = found.select("a", "b").unionByName(many).distinct()
     intervals = (
         found.select(F.col("a").alias("doc"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
@@ -206,16 +217,58 @@ def matches(documents: DataFrame, least: int = LEAST, k: int = WINDOW, key: str
     return members, pairs, intervals
 
 
+def _each_two(groups: DataFrame, key: str, member: str) -> DataFrame:
+    """``x, y`` (x < y) of each group of rows ``key, member, n``, where ``n`` is the group's size.
+
+    A group is cut into blocks of about BLOCK_OF members; a member stands on
+    the left in its own block and on the right in every block, so that no task
+    joins more than a block with its group. The number of rows is that of the
+    pairs, which a list of pairs has to have.
+    """
+    blocks = _blocks("n")
+    left = groups.select(key, F.col(member).alias("x"), F.pmod(F.xxhash64(member), blocks).cast("int").alias("block"))
+    right = groups.select(key, F.col(member).alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return left.join(right, [key, "block"]).where("x < y").select("x", "y")
+
+
 def shared_pairs(documents: DataFrame, least: int = LEAST, k: int = WINDOW) -> DataFrame:
     """``doc_a, doc_b`` (a < b): two records with a span of at least ``least`` characters in common."""
     members, pairs, _ = matches(documents, least, k)
-    left = members.select(F.col("rep").alias("a"), F.col("doc").alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    sized = members.join(members.groupBy("rep").agg(F.count("*").alias("n")), "rep").withColumn("block", F.pmod(F.xxhash64("doc"), _blocks("n")).cast("int"))
+    # classes of many copies meet block by block
+    blocks = sized.select("rep", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("block")).distinct()
+    across = pairs
+    for end, doc in (("a", "x"), ("b", "y")):
+        across = across.join(blocks.select(F.col("rep").alias(end), F.col("block").alias(f"block_{end}")), end)
+    for end, doc in (("a", "x"), ("b", "y")):
+        own = sized.select(F.col("rep").alias(end), F.col("block").alias(f"block_{end}"), F.col("doc").alias(doc))
+        across = across.join(own, [end, f"block_{end}"])
+    across = across.select("x", "y")
+    within = _each_two(sized.where("n > 1"), "rep", "doc")
     return across.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def _blocks(n: str):
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_OF)).cast("int")
+
+
+def links(documents: DataFrame, least: int = LEAST, k: int = WINDOW) -> DataFrame:
+    """``doc_id, class_id, n_links``: each record, the class of its exact copies (the smallest id) and with how many other records it shares a span.
+
+    Links are counted between classes and weighed with their sizes, so copies
+    are never paired. A record without a text of the least length is a class
+    of its own without links.
+    """
+    members, pairs, _ = matches(documents, least, k)
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = ends.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("n").alias("beyond"))
+    counted = sizes.join(beyond.withColumnRenamed("a", "rep"), "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    known = members.join(counted, "rep").select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "n_links")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def removal_intervals(documents: DataFrame, least: int = LEAST, k: int = WINDOW) -> DataFrame:
     """``doc_id, start, end``: maximal intervals of each record that also stand in other records."""
     members, _, intervals = matches(documents, least, k)

@@ -578,19 +578,26 @@ def shared_plainly(items, least):
     return pairs, amount
 
 
-@pytest.mark.parametrize("few", [64, 1])
-def test_spans_equal_brute_force(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "block", "cut"), [(64, 500, 5000), (1, 4, 3)])
+def test_spans_equal_brute_force(spark, monkeypatch, few, block, cut):
     monkeypatch.setattr(spans, "FEW", few)
+    monkeypatch.setattr(spans, "BLOCK_OF", block)
+    monkeypatch.setattr(spans, "SLICE", cut)
     rng = random.Random(few)
     noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     common = [noise(n) for n in (39, 40, 41, 90, 150)]
     items = [(d, noise(rng.randint(0, 120)) + rng.choice(common) + noise(rng.randint(0, 90))) for d in range(60)]
-    items += [(100, items[0][1]), (101, items[0][1]), (102, None), (103, ""), (104, common[3] * 2), (105, "z" * 300), (106, "y" * 100 + "z" * 45)]
+    items += [(k, items[0][1]) for k in range(110, 119)] + [(100, items[0][1]), (101, items[0][1]), (102, None), (103, ""), (104, common[3] * 2), (105, "z" * 300), (106, "y" * 100 + "z" * 45)]
     df = texts(spark, [*items, items[3]]).withColumn("doc", F.lit("clash"))
     pairs, amount = shared_plainly(items, 40)
     assert set(rows(spans.shared_pairs(df, 40, 20))) == pairs
     got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_amount(df, 40, 20).collect()}
     assert got == amount
+    linked = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spans.links(df, 40, 20).collect()}
+    first = {}
+    for d, t in sorted(items):
+        first.setdefault(t if t and len(t) >= 40 else d, d)
+    assert linked == {d: (first[t if t and len(t) >= 40 else d], sum(d in p for p in pairs)) for d, t in items}
     assert spans.shared_pairs(df.where("false"), 40, 20).count() == 0
 
 
