@@ -209,8 +209,12 @@ def fit(samples: list[tuple[str, str]], epochs: int = 12, rate: float = 0.25, pe
 
 
 def fit_table(lang_sample: DataFrame) -> Model | None:
-    """Fit on a table ``lang, text``; None if it is empty."""
-    rows = lang_sample.where("text is not null and lang is not null").select("lang", "text").orderBy("lang", "text").limit(MAX_SAMPLES).collect()
+    """Fit on a table ``lang, text``, of at most MAX_SAMPLES rows, as many of each language; None if it is empty."""
+    some = lang_sample.where("text is not null and lang is not null").select("lang", "text")
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    ranked = some.withColumn("place", F.row_number().over(each))
+    # the first of each language, then the second of each and so on
+    rows = ranked.orderBy("place", "lang").limit(MAX_SAMPLES).orderBy("lang", "text").select("lang", "text").collect()
     return fit([(r["lang"], r["text"]) for r in rows]) if rows else None
 
 

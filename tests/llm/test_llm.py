@@ -255,6 +255,15 @@ def test_texts_without_a_charset_are_read_again(spark):
     assert ends[1] == ends[3] <= len(german) and ends[2] == ends[4] <= len(russian)
 
 
+def test_every_language_stays_in_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MAX_SAMPLES", 30)
+    seen = []
+    monkeypatch.setattr(languages, "fit", lambda samples: seen.extend(samples))
+    df = spark.createDataFrame([(lang, f"{lang} {k}") for lang, n in (("ar", 500), ("zh", 9), ("th", 40)) for k in range(n)] + [(None, "x"), ("de", None)], "lang string, text string")
+    languages.fit_table(df)
+    assert {lang: sum(x == lang for x, _ in seen) for lang in ("ar", "zh", "th")} == {"ar": 11, "th": 10, "zh": 9}
+
+
 # --- 4 privacy ----------------------------------------------------------------
 
 KEY = b"a key of the tests"
