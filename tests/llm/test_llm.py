@@ -75,7 +75,10 @@ def test_page_numbers_and_keys():
     assert all(scans.page_number(x) is None for x in bad), [x for x in bad if scans.page_number(x) is not None]
     keys = {scans.skeleton(x) for x in ("Harbour Board - Report 7", "HARBOUR  BOARD — REPORT", "Harb0ur Board - Rep0rt   12", "Harbour Board – Report iv")}
     assert len(keys) == 1 and "" not in keys
-    assert {"commune", "maintenance", "seconde"} <= scans.corrections("c0mmune") | scans.corrections("rnaintenance") | scans.corrections("se(oncle")
+    for word, right in (("c0mmune", "commune"), ("rnaintenance", "maintenance"), ("se(oncle", "seconde"), ("c0l0c0t0l0", "colocotolo"), ("modem", "modern"), ("кн0ва", "книова")):
+        assert scans.plausible(word, right) == (word != "кн0ва"), word
+    for word, right in (("commune", "c0mmune"), ("maison", "saison"), ("eoeoeo", "cacaca"), ("la", "ia"), ("same", "same")):
+        assert not scans.plausible(word, right), word
 
 
 def test_words_that_own_their_hyphen(spark):
