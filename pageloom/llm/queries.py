@@ -19,12 +19,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         small_batches(spark)
         return table(spark, d, name)
 
+    def scanned(spark: SparkSession, d: str) -> DataFrame:
+        small_batches(spark, 500)  # a page becomes lists of its words
+        return table(spark, d, "page_text")
+
     def both(spark: SparkSession, d: str) -> DataFrame:
         return page_and_web_texts(t(spark, d, "documents"), t(spark, d, "page_text"))
 
     return {
-        "p1_found": lambda s, d: scans.found(t(s, d, "page_text")),
-        "p1_paragraphs": lambda s, d: scans.paragraphs(t(s, d, "page_text")),
+        "p1_found": lambda s, d: scans.found(scanned(s, d)),
+        "p1_paragraphs": lambda s, d: scans.paragraphs(scanned(s, d)),
         "p2_found": lambda s, d: splitting.found(t(s, d, "ocr_document"), t(s, d, "page_text")),
         "p2_pieces": lambda s, d: splitting.split(t(s, d, "ocr_document"), t(s, d, "page_text")),
         "p3_found": lambda s, d: languages.found(t(s, d, "documents"), t(s, d, "ocr_document"), t(s, d, "lang_sample")),
