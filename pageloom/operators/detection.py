@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import base as B
+from pageloom.sources.backends import system_packs
 
 #: Packs of each script, the likelier first.
 SCRIPT_PACKS = {
@@ -25,14 +28,19 @@ SCRIPT_PACKS = {
 }
 #: Scripts that share a page with another.
 PARTNERS = {"Latin": ["Arabic"], "Arabic": ["Latin"], "Cyrillic": ["Latin"], "Greek": ["Latin"], "Hebrew": ["Latin"]}
-#: Packs that are installed; packs that only describe a page are no languages.
+#: Packs taken for installed where no recogniser can be asked; packs that only describe a page are no languages.
 INSTALLED = ("ara", "chi_sim", "deu", "ell", "eng", "equ", "fra", "hin", "jpn", "osd", "por", "rus", "spa", "tha")
 MIN_CHARS, MIN_CONF, MIN_SHARE, CLOSE = 12, 55, 0.25, 0.93
 
 
-def installed(packs=INSTALLED) -> list[str]:
-    """Installed languages; English if none is known."""
-    return sorted(set(packs) - {"osd", "equ"}) or ["eng"]
+@lru_cache(maxsize=1)
+def _of_system() -> tuple[str, ...]:
+    return tuple(system_packs() or INSTALLED)
+
+
+def installed(packs=None) -> list[str]:
+    """Installed languages, by default those of this machine's recogniser; English if none is known."""
+    return sorted(set(_of_system() if packs is None else packs) - {"osd", "equ"}) or ["eng"]
 
 
 def catalogue(spark) -> DataFrame:
@@ -41,7 +49,7 @@ def catalogue(spark) -> DataFrame:
     return spark.createDataFrame(rows, "script string, pack string, pack_pos int")
 
 
-def script_groups(spark, packs=INSTALLED) -> DataFrame:
+def script_groups(spark, packs=None) -> DataFrame:
     """``script, pack, pack_pos``: installed packs of the scripts that characters can prove, in order."""
     have = catalogue(spark).where(F.col("script").isin(*T.SCRIPTS) & F.col("pack").isin(*installed(packs)))
     return have.withColumn("pack_pos", (F.row_number().over(Window.partitionBy("script").orderBy("pack_pos")) - 1).cast("int"))

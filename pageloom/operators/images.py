@@ -364,10 +364,11 @@ def prepared(rgb: np.ndarray, rotate: int = 0) -> np.ndarray:
     return stretched(grey_of(np.rot90(rgb, -(rotate // 90) % 4)))
 
 
-def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAULTS) -> DataFrame:
+def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAULTS, restore: bool = False) -> DataFrame:
     """Clean rows ``doc_id, page, height, width, data`` (RGB bytes): metrics, and the cleaned bytes.
 
-    A page whose bytes don't fit its size gets an error code instead of an image.
+    With ``restore`` a page that was cleaned at a smaller size gets its own
+    size back. A page whose bytes don't fit its size gets an error code instead of an image.
     """
     schema = (
         "doc_id long, page int, paper_std double, background_spread double, contrast double, chroma double, mode string, scaled boolean, "
@@ -380,6 +381,8 @@ def clean_pages(pages: DataFrame, wanted: str | None = None, s: Settings = DEFAU
             for r in batch.itertuples(index=False):
                 try:
                     out, info = clean_page(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3), wanted, s)
+                    if restore and info["scaled"]:
+                        out = P.resampled(out, (r.height, r.width), "lanczos")
                     rows.append({"doc_id": r.doc_id, "page": r.page, **info, "height": out.shape[0], "width": out.shape[1], "data": out.tobytes(), "error": None})
                 except (ValueError, TypeError):
                     rows.append({"doc_id": r.doc_id, "page": r.page, "error": "clean_render_failed"})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import asdict
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,30 +16,37 @@ from pageloom.functions import text as T
 from pageloom.operators import base as B
 from pageloom.operators import detection, documents, images
 from pageloom.operators.image_queries import drawn_pages
-from pageloom.session import shared_folder, table
+from pageloom.session import parted, shared_folder, table
 from pageloom.sources.archives import entries_of
-from pageloom.sources.backends import BlankRenderer, TableRecogniser
+from pageloom.sources.backends import BlankRenderer, DigitRecogniser, drawn_digits
+from pageloom.sources.files import written_file
 from pageloom.sources.pdf import PdfWriter, read_pages
+from pageloom.sources.settings import Limits
 
 
-def recognised(work: DataFrame, recogniser=None, psm: int = 3) -> DataFrame:
-    """``doc_id, page, text`` of rows ``doc_id, page, lang, dpi``; a page that fails is empty and fails no other."""
-    reader = recogniser or TableRecogniser()
+def digit_page(doc_id: int, page: int, dpi: int):
+    """The image of a page where none is stored: its document's and its own number, in block digits."""
+    return drawn_digits(f"{doc_id} {page}")
+
+
+def recognised(work: DataFrame, reader=None, render=digit_page, psm: int = 3) -> DataFrame:
+    """``doc_id, page, text`` of rows ``doc_id, page, lang, dpi``: each page is rendered, made ready and read; one that fails is empty and fails no other."""
+    reader = reader or DigitRecogniser()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
             for r in batch.itertuples(index=False):
                 try:
-                    texts.append(reader.read(int(r.doc_id), int(r.page), r.lang, int(r.dpi), psm))
+                    texts.append(reader.read_image(images.prepared(render(int(r.doc_id), int(r.page), int(r.dpi))), r.lang, int(r.dpi), psm))
                 except Exception:  # noqa: BLE001 a reader's failure concerns its page only
                     texts.append("")
             yield batch[["doc_id", "page"]].assign(text=texts)
 
-    return work.select("doc_id", "page", "lang", "dpi").mapInPandas(run, "doc_id long, page int, text string")
+    return parted(work.select("doc_id", "page", "lang", "dpi")).mapInPandas(run, "doc_id long, page int, text string")
 
 
-def searchable_pages(docs: DataFrame, pages: DataFrame, findings: DataFrame, recogniser=None) -> DataFrame:
+def searchable_pages(docs: DataFrame, pages: DataFrame, findings: DataFrame, reader=None) -> DataFrame:
     """``doc_id, page, text, source``: stored text where there is enough, else what is recognised in the page's language."""
     work = documents.work_list(docs, pages)
     langs = detection.language_for_page(work, findings, docs.select("doc_id", "language"))
@@ -46,7 +54,18 @@ def searchable_pages(docs: DataFrame, pages: DataFrame, findings: DataFrame, rec
     todo = langs.join(dpi, "doc_id", "left").select("doc_id", "page", "lang", F.coalesce("dpi", F.lit(300)).alias("dpi"))
     spine = docs.where("page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
     own = spine.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left")
-    return documents.merged_pages(own, recognised(todo, recogniser))
+    return documents.merged_pages(own, recognised(todo, reader))
+
+
+def _files(batches: Iterator[pd.DataFrame], folder: str, put) -> Iterator[tuple]:
+    """Write rows sorted by document as one PDF each, ``put`` adding a row's page; document, path, pages and bytes of each."""
+    for doc, own in groupby((r for batch in batches for r in batch.itertuples(index=False)), lambda r: r.doc_id):
+        with written_file(folder, f"{doc}.pdf") as file:
+            writer = PdfWriter(file)
+            for r in own:
+                put(writer, r)
+            n, size = len(writer.kids), writer.close()
+        yield doc, f"{folder}/{doc}.pdf", n, size
 
 
 def write_documents(pages: DataFrame, folder: str) -> DataFrame:
@@ -57,25 +76,7 @@ def write_documents(pages: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, file, writer, done = None, None, None, []
-
-        def finish() -> None:
-            if writer:
-                n, size = len(writer.kids), writer.close()
-                file.close()
-                os.replace(file.name, file.name.removesuffix(".part"))
-                done.append((doc, file.name.removesuffix(".part"), n, size))
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.doc_id != doc:
-                    finish()
-                    os.makedirs(folder, exist_ok=True)
-                    doc, file = r.doc_id, open(f"{folder}/{r.doc_id}.pdf.part", "wb")  # noqa: SIM115
-                    writer = PdfWriter(file)
-                writer.page(r.text or "")
-        finish()
-        yield pd.DataFrame(done, columns=["doc_id", "path", "pages", "bytes"])
+        yield pd.DataFrame(list(_files(batches, folder, lambda writer, r: writer.page(r.text or ""))), columns=["doc_id", "path", "pages", "bytes"])
 
     ordered = pages.select("doc_id", "page", "text").repartition("doc_id").sortWithinPartitions("doc_id", "page")
     return ordered.mapInPandas(run, "doc_id long, path string, pages int, bytes long")
@@ -96,19 +97,12 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
     """``archive, entries``: one ZIP for each ``archive`` of rows ``archive, ord, name, content``, written entry by entry."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, opened, done = None, None, []
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.archive != now:
-                    if opened:
-                        opened.close()
-                    os.makedirs(folder, exist_ok=True)
-                    now, opened = r.archive, zipfile.ZipFile(f"{folder}/{r.archive}.zip", "w", zipfile.ZIP_DEFLATED)
-                    done.append([now, 0])
-                opened.writestr(r.name, bytes(r.content))
-                done[-1][1] += 1
-        if opened:
-            opened.close()
+        done = []
+        for archive, own in groupby((r for batch in batches for r in batch.itertuples(index=False)), lambda r: r.archive):
+            with written_file(folder, f"{archive}.zip") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as opened:
+                for r in own:
+                    opened.writestr(r.name, bytes(r.content))
+                done.append((archive, len(opened.filelist)))
         yield pd.DataFrame(done, columns=["archive", "entries"])
 
     ordered = entries.select("archive", "ord", "name", "content").repartition("archive").sortWithinPartitions("archive", "ord")
@@ -119,7 +113,7 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).removeprefix('file://')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def _searchable(s, d):
@@ -146,25 +140,14 @@ def _zipped(s, d):
 
 def _cleaned_files(s, d):
     folder = _folder(s, "cleaned")
-    pages = images.clean_pages(drawn_pages(B.findings(s, d))).where("error is null")
+    pages = images.clean_pages(drawn_pages(B.findings(s, d)), restore=True).where("error is null")
+
+    def put(writer: PdfWriter, r) -> None:
+        scale = min(595.0 / r.width, 842.0 / r.height)
+        writer.page("", r.width * scale, r.height * scale, bytes(r.data), (r.height, r.width))
 
     def run(batches):
-        doc, file, writer, done = None, None, None, []
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.doc_id != doc:
-                    if writer:
-                        done.append((doc, len(writer.kids), writer.close()))
-                        file.close()
-                    os.makedirs(folder, exist_ok=True)
-                    doc, file = r.doc_id, open(f"{folder}/{r.doc_id}.pdf", "wb")  # noqa: SIM115
-                    writer = PdfWriter(file)
-                scale = min(595.0 / r.width, 842.0 / r.height)
-                writer.page("", r.width * scale, r.height * scale, bytes(r.data), (r.height, r.width))
-        if writer:
-            done.append((doc, len(writer.kids), writer.close()))
-            file.close()
-        yield pd.DataFrame(done, columns=["doc_id", "pages", "bytes"])
+        yield pd.DataFrame([(doc, n, size) for doc, _, n, size in _files(batches, folder, put)], columns=["doc_id", "pages", "bytes"])
 
     return pages.repartition("doc_id").sortWithinPartitions("doc_id", "page").mapInPandas(run, "doc_id long, pages int, bytes long")
 
@@ -195,6 +178,9 @@ def _previews(s, d):
 
 _DONE_PAGES = f"WITH {B.DOCS} SELECT doc_id, page_count AS pages FROM docs WHERE status = 'done' AND page_count > 0"
 
+_WORK = f"""{B.DOCS}, {B.PAGES}, work AS (SELECT doc_id, page FROM (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS page FROM docs WHERE page_count > 0) t
+    WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.doc_id = t.doc_id AND p.page = t.page AND length({B.stripped_sql("coalesce(text, '')")}) >= 20))"""
+
 QUERIES = {
     "S1_landed_uploads": (
         lambda s, d: _zipped(s, d).select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("batch_id"), (F.col("length") > 0).alias("landed")),
@@ -222,9 +208,24 @@ QUERIES = {
         f"""WITH {B.FINDINGS} SELECT doc_id, page, 35 AS height, 90 AS width, 35 * 90 * 3 AS bytes FROM
         (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rk FROM findings) WHERE rk <= 10""",
     ),
-    "R1_ocr_page_pdf": (lambda s, d: recognised(detection.language_for_page(documents.work_list(B.documents(s, d), B.pages(s, d)), B.findings(s, d), B.documents(s, d).select("doc_id", "language")).withColumn("dpi", F.lit(300))), None),
-    "R2_ocr_image_text": (lambda s, d: recognised(B.findings(s, d).select("doc_id", "page", F.coalesce("lang", F.lit("eng")).alias("lang"), "dpi")), f"WITH {B.FINDINGS} SELECT doc_id, page, 'recognised ' || doc_id || '/' || page || ' in ' || coalesce(lang, 'eng') || ' at ' || dpi || ' (3)' AS text FROM findings"),
-    "R4_make_searchable": (_searchable, None),
+    "R1_ocr_page_pdf": (
+        lambda s, d: recognised(detection.language_for_page(documents.work_list(B.documents(s, d), B.pages(s, d)), B.findings(s, d), B.documents(s, d).select("doc_id", "language")).withColumn("dpi", F.lit(300))),
+        f"WITH {_WORK} SELECT doc_id, page, doc_id || ' ' || page AS text FROM work",
+    ),
+    "R2_ocr_image_text": (
+        lambda s, d: recognised(B.findings(s, d).select("doc_id", "page", F.coalesce("lang", F.lit("eng")).alias("lang"), "dpi")),
+        f"WITH {B.FINDINGS} SELECT doc_id, page, doc_id || ' ' || page AS text FROM findings",
+    ),
+    "R4_make_searchable": (
+        _searchable,
+        f"""WITH {B.DOCS}, {B.PAGES}, spine AS (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS page FROM docs WHERE page_count > 0 AND status = 'done'),
+        j AS (SELECT s.doc_id, s.page, p.text, coalesce(length({B.stripped_sql("coalesce(p.text, '')")}) >= 20, false) AS keeps FROM spine s LEFT JOIN pages p USING (doc_id, page))
+        SELECT doc_id, page, CASE WHEN keeps THEN text ELSE doc_id || ' ' || page END AS text, CASE WHEN keeps THEN 'native' ELSE 'recognised' END AS source FROM j""",
+    ),
+    "S9_settings": (
+        lambda s, d: s.createDataFrame(sorted((k, int(v)) for k, v in asdict(Limits.from_environment()).items()), "name string, value int"),
+        "SELECT * FROM (VALUES ('detect_all_pages', 12), ('max_age_min', 240), ('max_batch_mb', 500), ('max_mb', 100), ('page_jobs', 4), ('ttl_min', 30)) t(name, value)" if Limits.from_environment() == Limits(100, 500, 30, 240, 4, 12) else None,
+    ),
     "R5_dependencies": (
         lambda s, d: B.documents(s, d).select("doc_id", F.array_join(F.array_except(T.packs_of(F.col("language")), F.array(*map(F.lit, detection.installed()))), ",").alias("missing")),
         f"""WITH {B.DOCS} SELECT doc_id, array_to_string(list_filter(string_split(coalesce(language, ''), '+'), lambda x: x <> '' AND x NOT IN ({', '.join(f"'{x}'" for x in detection.installed())})), ',') AS missing FROM docs""",

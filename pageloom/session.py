@@ -64,12 +64,16 @@ def parted(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a temporary folder of this
-    process takes its place.
+    Only where that is unset and all tasks run on this machine, as in local
+    tests, a temporary folder of this process takes its place; on a cluster
+    without it rows would be written to many machines' own disks, so that is
+    refused.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _scratch:
         _scratch[key] = tempfile.mkdtemp(prefix="pageloom-")
@@ -81,17 +85,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A lost executor costs nothing then but its running tasks; the files are
-    removed when the driver ends.
+    removed when the driver ends, on whatever file system they are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    local = path.removeprefix("file://")
-    if local.startswith("/") and os.path.isdir(local):
-        atexit.register(shutil.rmtree, local, True)
+    _removed_at_end(spark, path)
     return spark.read.parquet(path)
 
 
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     """A session on this machine with the settings used by tests and the bench."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")  # each task is a worker of its own

@@ -32,8 +32,15 @@ def arrivals(events: DataFrame, late: str = "2 hours", slot: str = "1 hour") ->
     return once.groupBy(F.window("created_at", slot).alias("slot")).agg(F.count("*").alias("jobs")).select(F.col("slot.start").alias("slot"), "jobs")
 
 
+#: How long a job's state is kept after its last row, in milliseconds, and how late rows may come, both by ``seen_at``.
+KEPT, LATE = 24 * 3600 * 1000, "1 day"
+
+
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep a job's latest state; report it once, when it is closed."""
+    """Keep a job's latest state; report it once, when it is closed; forget it when nothing has come for long."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     seen, status, reported = state.get if state.exists else (pd.Timestamp.min.value, "queued", False)
     for batch in batches:
         for at, now in zip(batch["seen_at"], batch["status"]):
@@ -42,13 +49,18 @@ def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
                 seen, status = value, now
     fresh = status in ("done", "error") and not reported
     state.update((seen, status, reported or fresh))
+    state.setTimeoutTimestamp(max(seen // 1_000_000, state.getCurrentWatermarkMs()) + KEPT)
     yield pd.DataFrame({"job_id": [key[0]], "status": [status]} if fresh else {"job_id": [], "status": []}, dtype=str)
 
 
 def closings(events: DataFrame) -> DataFrame:
-    """``job_id, status`` once for each job that is done or has failed; later rows of it change nothing."""
-    return events.select("job_id", "status", "seen_at").groupBy("job_id").applyInPandasWithState(
-        _close, "job_id string, status string", "seen long, status string, reported boolean", "append", GroupStateTimeout.NoTimeout
+    """``job_id, status`` once for each job that is done or has failed; later rows of it change nothing.
+
+    A job of which no row came for KEPT is forgotten, so the state doesn't grow
+    for ever; rows later than LATE are left out.
+    """
+    return events.select("job_id", "status", "seen_at").withWatermark("seen_at", LATE).groupBy("job_id").applyInPandasWithState(
+        _close, "job_id string, status string", "seen long, status string, reported boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -1,6 +1,8 @@
 """Core operators against plain Python on small fixtures, with the awkward cases."""
 
+import glob
 import io
+import os
 import random
 import zipfile
 
@@ -19,7 +21,9 @@ from pageloom.operators import detection as D
 from pageloom.operators import documents as O
 from pageloom.operators import images as I
 from pageloom.operators import jobs as J
-from pageloom.sources import archives, pdf
+from pageloom import session
+from pageloom.sources import archives, backends, files, pdf
+from pageloom.streaming import jobs as streaming
 from pageloom.sources import settings as S
 
 
@@ -422,6 +426,66 @@ def test_archives(spark, tmp_path):
         assert got == {("good.zip", "a.pdf", None), ("good.zip", "A (2).PDF", None), ("good.zip", "a (2) (2).pdf", None), ("empty.zip", None, "empty_zip"), ("bad.zip", None, "corrupt_zip"), ("bomb.zip", None, "suspicious_zip")}
 
 
+def test_digits_are_read_from_pixels():
+    for text in ("7000000123 4", "0123456789 1", "11 17 71", "8"):
+        assert backends.DigitRecogniser().read_image(I.prepared(backends.drawn_digits(text)), "eng", 300, 3) == text
+    assert backends.DigitRecogniser().read_image(np.full((40, 40, 3), 255, np.uint8), "eng", 300, 3) == ""
+    noisy = np.clip(backends.drawn_digits("90 12\n345", 4) + np.random.default_rng(1).normal(0, 12, (120, 160, 1))[: 40 + 80, : 40 + 120], 0, 255).astype(np.uint8)
+    assert backends.DigitRecogniser().read_image(noisy, "eng", 300, 3) == "90 12\n345"
+
+
+def test_commands_get_and_give_through_pipes(tmp_path, monkeypatch):
+    def command(name, body):
+        file = tmp_path / name
+        file.write_text("#!/bin/sh\n" + body)
+        file.chmod(0o755)
+
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert isinstance(backends.recogniser(), backends.DigitRecogniser) and isinstance(backends.renderer(), backends.BlankRenderer) and backends.system_packs() is None
+    command("tesseract", 'if [ "$1" = --list-langs ]; then printf "List of available languages (3):\\neng\\nosd\\nara\\n"; else head -c 2; echo " $*"; fi\n')
+    command("pdftoppm", 'cat > /dev/null; printf "P6\\n# made here\\n2 1\\n255\\nabcdef"\n')
+    assert backends.system_packs() == ["ara", "eng"]
+    page = backends.renderer().render(b"%PDF", 3, 150)
+    assert page.shape == (1, 2, 3) and page.tobytes() == b"abcdef"
+    assert backends.recogniser().read_image(page, "eng+ara", 200, 6) == "P6 stdin stdout -l eng+ara --dpi 200 --psm 6\n"
+    command("tesseract", "exit 3\n")
+    assert backends.recogniser().read_image(page, "eng", 200, 6) == "" and backends.system_packs() is None
+
+
+def test_files_stand_under_their_names_only_when_whole(tmp_path):
+    for folder in (f"{tmp_path}/a b", f"file://{tmp_path}/c"):
+        with files.written_file(folder, "x.bin") as out:
+            out.write(b"12")
+            assert not glob.glob(f"{tmp_path}/*/x.bin") or folder.startswith("file")
+        with pytest.raises(ValueError), files.written_file(folder, "y.bin") as out:
+            out.write(b"1")
+            raise ValueError
+    assert sorted(os.path.basename(f) for f in glob.glob(f"{tmp_path}/*/*")) == ["x.bin", "x.bin"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://somewhere:7077", "x"
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        session.shared_folder(Session)
+
+
+def test_stream_state_expires():
+    class State:
+        exists, hasTimedOut, removed = True, True, False
+
+        def remove(self):
+            self.removed = True
+
+    state = State()
+    assert list(streaming._close(("a",), iter(()), state)) == [] and state.removed
+
+
 def test_pdf_round_trip():
     out = io.BytesIO()
     writer = pdf.PdfWriter(out)
