@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import base as B
+from pageloom.operators.text_queries import RATIO_SQL, REPAIRED_SQL, form_sql
 from pageloom.session import parted, written
 
 BEFORE, AFTER, HEAD, MAX_HITS, MARGIN = 4, 6, 12, 24, 16
@@ -46,14 +47,18 @@ def lines(pages: DataFrame, text: Column | None = None) -> DataFrame:
     return own.select("doc_id", "page", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("line_no", "line"))
 
 
-def _fields(spark: SparkSession, labels: tuple[Label, ...], form) -> DataFrame:
-    rows = [
+def _needles(labels: tuple[Label, ...], form) -> list[tuple[int, str, int, str]]:
+    """Number and id of a label, number of a term, and the term's form; short terms and terms of another script than the label's language are left out."""
+    return [
         (k, x.field_id, i, form(term))
         for k, x in enumerate(labels)
         for i, term in enumerate(x.terms)
         if len(form(term)) >= 3 and not (_arabic(x) and not any("؀" <= c <= "ۿ" or "ݐ" <= c <= "ݿ" for c in term))
     ]
-    return spark.createDataFrame(rows, "field_ord int, field_id string, term_ord int, needle string")
+
+
+def _fields(spark: SparkSession, labels: tuple[Label, ...], form) -> DataFrame:
+    return spark.createDataFrame(_needles(labels, form), "field_ord int, field_id string, term_ord int, needle string")
 
 
 def _arabic(x: Label) -> bool:
@@ -242,17 +247,60 @@ _SIZED = f"""WITH RECURSIVE {_HITS},
   sized AS (SELECT r.doc_id, r.priority, r.page, r."start", r."end", (sum(length(l.line) + 1) + 16)::INTEGER AS size FROM ranked r
             JOIN lines l ON l.doc_id = r.doc_id AND l.page = r.page AND l.line_no >= r."start" AND l.line_no < r."end" GROUP BY 1, 2, 3, 4, 5)"""
 
+_REPAIRED_LINES = _LINES.replace(f"{B.PAGES},", "").replace("FROM pages)", "FROM repaired)").replace("split AS", "raws AS").replace("FROM split", "FROM raws")
+
+
+def _context_sql(labels: tuple[Label, ...], max_characters: int) -> str:
+    """The excerpts by one walk over each document's windows."""
+    needles = ", ".join(f"({k}, {i}, '{form}')" for k, _, i, form in _needles(labels, T.matching_form))
+    arabic = [k for k, x in enumerate(labels) if _arabic(x) and x.type in ("string", "array")]
+    focused = all(x.language_mode == "specific_language" for x in labels)
+    scripts = f"UNION ALL SELECT doc_id, page, greatest(0, line_no - {BEFORE}), least(n_lines, line_no + {AFTER + 1}), k, 1, page, line_no FROM arabic, unnest({arabic}) f(k) WHERE rank <= {MAX_HITS}" if arabic else ""
+    heads = "" if focused else f"""UNION ALL SELECT DISTINCT l.doc_id, l.page, 0, least({HEAD}, l.n_lines), -1, 0, 0, 0 FROM lines l JOIN (SELECT doc_id, min(page) AS page FROM lines GROUP BY doc_id) USING (doc_id, page)"""
+    return f"""WITH RECURSIVE {REPAIRED_SQL}, {_REPAIRED_LINES},
+  keyed AS (SELECT lines.*, {form_sql('line')} AS key FROM lines, wide),
+  fields AS (SELECT * FROM (VALUES {needles}) AS t(field_ord, term_ord, needle)),
+  every_hit AS (SELECT * FROM keyed JOIN fields ON contains(key, needle)),
+  hits AS (SELECT h.* FROM every_hit h JOIN (SELECT doc_id, field_ord, min(term_ord) AS term_ord FROM every_hit GROUP BY 1, 2) f USING (doc_id, field_ord, term_ord)),
+  arabic AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS rank FROM lines WHERE regexp_matches(line, '{T.ARABIC}')),
+  bodies AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS body FROM lines GROUP BY doc_id, page),
+  wholes AS (SELECT d.doc_id, coalesce(string_agg('<<<PAGE ' || page || '>>>' || chr(10) || body, chr(10) ORDER BY page), '') AS whole, coalesce(list(page ORDER BY page) FILTER (page IS NOT NULL), []) AS whole_pages
+    FROM (SELECT DISTINCT doc_id FROM pages) d LEFT JOIN bodies USING (doc_id) GROUP BY d.doc_id),
+  budgets AS (SELECT *, greatest(least({max_characters}, floor({T.MAX_TOKENS} * ({RATIO_SQL}))), {min(1000, max_characters)})::INTEGER AS budget FROM (SELECT *, substring(whole, 1, 4000) AS probe FROM wholes)),
+  decided AS (SELECT *, length(whole) = 0 OR length(whole) <= budget AND {not focused} AS whole_fits FROM budgets),
+  wanted(doc_id, page, "start", "end", a, b, c, d) AS (SELECT doc_id, page, greatest(0, line_no - {BEFORE}), least(n_lines, line_no + {AFTER + 1}), field_ord, 0, page, line_no FROM hits {scripts} {heads}),
+  ranked AS (SELECT w.*, budget, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c, d, page, "start", "end") AS turn FROM wanted w JOIN decided USING (doc_id) WHERE NOT whole_fits),
+  sized AS (SELECT r.doc_id, r.turn, r.page, r."start", r."end", r.budget, (sum(length(l.line) + 1) + {MARGIN})::INTEGER AS size FROM ranked r
+    JOIN lines l ON l.doc_id = r.doc_id AND l.page = r.page AND l.line_no >= r."start" AND l.line_no < r."end" GROUP BY ALL),
+  walk AS (SELECT doc_id, 0::BIGINT AS turn, []::BIGINT[] AS kept, 0 AS used, false AS truncated FROM (SELECT DISTINCT doc_id FROM sized)
+    UNION ALL SELECT w.doc_id, s.turn, CASE WHEN w.used + s.size <= s.budget THEN list_append(w.kept, s.turn) ELSE w.kept END, w.used + CASE WHEN w.used + s.size <= s.budget THEN s.size ELSE 0 END, w.truncated OR w.used + s.size > s.budget
+    FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.turn = w.turn + 1),
+  taken AS (SELECT doc_id, arg_max(kept, turn) AS kept, arg_max(truncated, turn) AS truncated FROM walk GROUP BY doc_id),
+  source AS (SELECT s.doc_id, s.page, s."start", s."end" FROM sized s JOIN taken c ON c.doc_id = s.doc_id AND list_contains(c.kept, s.turn)), {_MERGED},
+  spans AS (SELECT doc_id, page, min("start") AS "start", max("end") AS "end" FROM islands GROUP BY doc_id, page, island),
+  pieces AS (SELECT s.doc_id, s.page, s."start", string_agg(l.line, chr(10) ORDER BY l.line_no) AS piece FROM spans s JOIN lines l ON l.doc_id = s.doc_id AND l.page = s.page AND l.line_no >= s."start" AND l.line_no < s."end" GROUP BY 1, 2, 3),
+  by_page AS (SELECT doc_id, page, string_agg(piece, chr(10) || '[...]' || chr(10) ORDER BY "start") AS piece FROM pieces GROUP BY doc_id, page),
+  selected AS (SELECT doc_id, string_agg('<<<PAGE ' || page || '>>>' || chr(10) || piece, chr(10) ORDER BY page) AS text, list(page ORDER BY page) AS pages FROM by_page GROUP BY doc_id),
+  put AS (SELECT d.doc_id, CASE WHEN whole_fits THEN whole WHEN truncated IS NULL THEN substring(whole, 1, budget) ELSE coalesce(s.text, '') END AS text, whole, whole_fits, whole_pages, s.pages AS own, truncated, budget
+    FROM decided d LEFT JOIN taken USING (doc_id) LEFT JOIN selected s USING (doc_id))
+  SELECT doc_id, text, CASE WHEN whole_fits THEN 'full' ELSE 'selected' END AS strategy, CASE WHEN whole_fits OR truncated IS NULL THEN whole_pages ELSE coalesce(own, []) END AS pages, length(text)::INTEGER AS characters, budget,
+    CASE WHEN whole_fits THEN false WHEN truncated IS NULL THEN length(whole) > budget ELSE truncated END AS truncated FROM put"""
+
+
 QUERIES = {
-    "X7_normalise_pages": (lambda s, d: lines(B.pages(s, d), T.repair_text("text")).select("doc_id", "page", "line_no", "line"), None),
+    "X7_normalise_pages": (
+        lambda s, d: lines(B.pages(s, d), T.repair_text("text")).select("doc_id", "page", "line_no", "line"),
+        f"WITH {REPAIRED_SQL}, {_REPAIRED_LINES} SELECT doc_id, page, line_no, line FROM lines",
+    ),
     "X7_lines": (lambda s, d: lines(B.pages(s, d)).select("doc_id", "page", "line_no", "line"), f"WITH {_LINES} SELECT doc_id, page, line_no, line FROM lines"),
     "X8_render": (
         lambda s, d: rendered(lines(B.pages(s, d))).select("doc_id", "text"),
         f"""WITH {_LINES}, bodies AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS body FROM lines GROUP BY doc_id, page)
         SELECT doc_id, string_agg('<<<PAGE ' || page || '>>>' || chr(10) || body, chr(10) ORDER BY page) AS text FROM bodies GROUP BY doc_id""",
     ),
-    "X9_build_context": (lambda s, d: build_context(B.pages(s, d), LABELS), None),
-    "X9_build_context_small": (lambda s, d: build_context(B.pages(s, d), LABELS, max_characters=BUDGET), None),
-    "X9_build_context_arabic": (lambda s, d: build_context(B.pages(s, d), ARABIC_LABELS, max_characters=BUDGET), None),
+    "X9_build_context": (lambda s, d: build_context(B.pages(s, d), LABELS), _context_sql(LABELS, T.MAX_CHARACTERS)),
+    "X9_build_context_small": (lambda s, d: build_context(B.pages(s, d), LABELS, max_characters=BUDGET), _context_sql(LABELS, BUDGET)),
+    "X9_build_context_arabic": (lambda s, d: build_context(B.pages(s, d), ARABIC_LABELS, max_characters=BUDGET), _context_sql(ARABIC_LABELS, BUDGET)),
     "J5_label_hits": (
         lambda s, d: label_hits(_own(s, d), LABELS, _lower).select("doc_id", "page", "line_no", "field_ord", "term_ord"),
         f"WITH {_HITS} SELECT doc_id, page, line_no, field_ord, term_ord FROM hits",

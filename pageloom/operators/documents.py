@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import base as B
+from pageloom.operators.text_queries import REPAIRED_SQL
 from pageloom.session import table
 from pageloom.sources.backends import capabilities
 
@@ -229,6 +230,16 @@ _ENTRIES = f"""{B.UPLOADS}, entries AS (SELECT batch_id AS archive_id, CASE WHEN
   wanted AS (SELECT *, NOT starts_with(string_split(name, '/')[-1], '.') AND string_split(name, '/')[-1] <> '' AND NOT starts_with(name, '__MACOSX/') AND NOT contains(name, '/.,')
     AND ends_with(lower(name), '.pdf') AS w FROM entries)"""
 
+#: Names by a walk through each batch: a name that is taken gets the next free number.
+NAMED_SQL = f"""RECURSIVE {B.UPLOADS}, bare AS (SELECT *, CASE WHEN b = '' THEN 'document.pdf' ELSE b END AS base FROM
+    (SELECT batch_id, ord, filename, regexp_replace(regexp_replace({B.stripped_sql("regexp_extract(coalesce(filename, ''), '[^\\/]*$')")}, '[<>:"|?*]', '', 'g'), '^[. ]+|[. ]+$', '', 'g') AS b FROM uploads)),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ord, filename) AS turn, regexp_extract(base, '^.+(\\.[^.]*)$', 1) AS ext FROM bare),
+  walk AS (SELECT batch_id, ord, filename, base AS name, turn, [lower(base)] AS taken FROM turns WHERE turn = 1
+    UNION ALL SELECT t.batch_id, t.ord, t.filename, n.name, t.turn, list_append(w.taken, lower(n.name)) FROM walk w JOIN turns t ON t.batch_id = w.batch_id AND t.turn = w.turn + 1,
+      LATERAL (SELECT CASE WHEN NOT list_contains(w.taken, lower(t.base)) THEN t.base ELSE
+        list_filter(list_transform(range(2, 102), lambda i: left(t.base, length(t.base) - length(t.ext)) || ' (' || i || ')' || t.ext), lambda x: NOT list_contains(w.taken, lower(x)))[1] END AS name) n),
+  named AS (SELECT * FROM walk)"""
+
 QUERIES = {
     "F2_pages_with_text": (lambda s, d: pages_with_text(B.pages(s, d)), f"WITH {B.PAGES} SELECT doc_id, page FROM pages WHERE length({_STRIP}) >= 20"),
     "F3_page_work_list": (
@@ -250,7 +261,7 @@ QUERIES = {
         lambda s, d: B.pages(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n\n").alias("text")),
         f"WITH {B.PAGES} SELECT doc_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page) AS text FROM pages GROUP BY doc_id",
     ),
-    "S5_read_pages_text": (lambda s, d: B.pages(s, d).select("doc_id", "page", T.repair_text("text").alias("text")), None),
+    "S5_read_pages_text": (lambda s, d: B.pages(s, d).select("doc_id", "page", T.repair_text("text").alias("text")), f"WITH {REPAIRED_SQL} SELECT doc_id, page, text FROM repaired"),
     "J4_page_merge": (
         lambda s, d: merged_pages(B.pages(s, d), work_list(B.documents(s, d), B.pages(s, d)).select("doc_id", "page", F.concat(F.lit("read "), "doc_id", F.lit("/"), "page").alias("text"))),
         f"""WITH {B.DOCS}, {B.PAGES}, b AS (SELECT doc_id, page, 'read ' || doc_id || '/' || page AS new FROM (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS page FROM docs WHERE page_count > 0) t
@@ -296,8 +307,12 @@ QUERIES = {
         f"""WITH {_ENTRIES}, g AS (SELECT archive_id, count(*) FILTER (w) AS n_entries, coalesce(sum(file_size) FILTER (w), 0)::BIGINT AS unpacked, coalesce(sum(compress_size) FILTER (w), 0)::BIGINT AS packed FROM wanted GROUP BY archive_id)
         SELECT *, CASE WHEN n_entries = 0 THEN 'empty_zip' WHEN n_entries > 100 THEN 'too_many_files' WHEN unpacked > 524288000 THEN 'zip_too_large' WHEN unpacked / greatest(packed, 1) > 200 THEN 'suspicious_zip' END AS code FROM g""",
     ),
-    "X11_safe_names": (lambda s, d: safe_names(B.uploads(s, d)), None),
-    "X13_upload_names": (lambda s, d: upload_names(B.uploads(s, d)), None),
+    "X11_safe_names": (lambda s, d: safe_names(B.uploads(s, d)), f"WITH {NAMED_SQL} SELECT batch_id, ord, filename, name FROM named"),
+    "X13_upload_names": (
+        lambda s, d: upload_names(B.uploads(s, d)),
+        f"""WITH {NAMED_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS k, regexp_replace(regexp_replace(string_split(regexp_replace(filename, '[\\\\ ]', '/', 'g'), '/')[-1], '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS plain FROM named)
+        SELECT batch_id, ord, CASE WHEN k = 1 AND regexp_matches(lower(plain), '\\.(pdf|zip)$') THEN plain ELSE name END AS name, ends_with(lower(filename), '.zip') AS is_zip FROM n""",
+    ),
     "F16_preview_pages": (
         lambda s, d: B.pages(s, d).groupBy("doc_id").agg(preview_pages(F.collect_list("page")).alias("p")).select("doc_id", F.explode("p").alias("page")),
         f"WITH {B.PAGES} SELECT doc_id, page FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rk FROM pages) WHERE rk <= 10",

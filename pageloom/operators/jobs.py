@@ -87,6 +87,10 @@ def _requests(s, d):
 
 _NOW = f"TIMESTAMPTZ '{NOW}+00'"
 
+_VIEW = f"""WITH {B.JOBS} SELECT job_id, status, filename, CASE WHEN is_archive THEN 'zip' ELSE 'pdf' END AS kind, coalesce(document_count, 0) AS document_count, coalesce(documents_done, 0) AS documents_done,
+        coalesce(current_document, 0) AS current_document, coalesce(elapsed_seconds, 0.0) AS elapsed_seconds, coalesce(stage, 'ocr') AS stage, coalesce(clean, false) AS clean, coalesce(clean_mode, 'auto') AS clean_mode,
+        CASE WHEN status = 'error' THEN coalesce(error.code, 'processing_failed') END AS error_code FROM jobs"""
+
 QUERIES = {
     "T1_job_states": (
         lambda s, d: closed_states(table(s, d, "ocr_job")),
@@ -117,13 +121,11 @@ QUERIES = {
         lambda s, d: progress(B.documents(s, d)),
         f"WITH {B.DOCS} SELECT job_id, count(*) FILTER (status IN ('done', 'error')) AS docs_done, coalesce(sum(pages_done), 0)::BIGINT AS pages_done, coalesce(sum(page_count), 0)::BIGINT AS pages_total FROM docs GROUP BY job_id",
     ),
-    "K7_public_view": (
-        lambda s, d: public_view(B.jobs(s, d)),
-        f"""WITH {B.JOBS} SELECT job_id, status, filename, CASE WHEN is_archive THEN 'zip' ELSE 'pdf' END AS kind, coalesce(document_count, 0) AS document_count, coalesce(documents_done, 0) AS documents_done,
-        coalesce(current_document, 0) AS current_document, coalesce(elapsed_seconds, 0.0) AS elapsed_seconds, coalesce(stage, 'ocr') AS stage, coalesce(clean, false) AS clean, coalesce(clean_mode, 'auto') AS clean_mode,
-        CASE WHEN status = 'error' THEN coalesce(error.code, 'processing_failed') END AS error_code FROM jobs""",
+    "K7_public_view": (lambda s, d: public_view(B.jobs(s, d)), _VIEW),
+    "M10_json_view": (
+        lambda s, d: public_view(B.jobs(s, d)).select("job_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")),
+        f"SELECT job_id, to_json(v)::VARCHAR AS json FROM ({_VIEW}) v",
     ),
-    "M10_json_view": (lambda s, d: public_view(B.jobs(s, d)).select("job_id", F.to_json(F.struct("*")).alias("json")), None),
     "F12_request_guard": (
         lambda s, d: guard(B.jobs(s, d), B.documents(s, d), _requests(s, d)),
         f"""WITH {B.JOBS}, {B.DOCS}, {B.UPLOADS}, r AS (SELECT batch_id || '/' || ord AS request_id, batch_id AS job_id, ord + CASE WHEN ord % 7 = 6 THEN 1000 ELSE 0 END AS doc_index, CASE WHEN ord % 3 = 2 THEN 'both' ELSE 'cleaned' END AS side FROM uploads),

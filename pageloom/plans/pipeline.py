@@ -186,7 +186,13 @@ QUERIES = {
         lambda s, d: _zipped(s, d).select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("batch_id"), (F.col("length") > 0).alias("landed")),
         f"WITH {B.UPLOADS} SELECT DISTINCT batch_id, true AS landed FROM uploads",
     ),
-    "S2_extract_archives": (lambda s, d: entries_of(_zipped(s, d)).select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("batch_id"), "ord", "name", "file_size", "error"), None),
+    "S2_extract_archives": (
+        lambda s, d: entries_of(_zipped(s, d)).select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("batch_id"), "ord", "name", "file_size", "error"),
+        f"""WITH {documents.NAMED_SQL}, own AS (SELECT batch_id, name, ord FROM named WHERE regexp_matches(lower(name), '\\.pdf$') AND NOT starts_with(name, '.')),
+        k AS (SELECT batch_id, count(o.name) AS n FROM (SELECT DISTINCT batch_id FROM uploads) u LEFT JOIN own o USING (batch_id) GROUP BY batch_id)
+        SELECT batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY ord) - 1)::INTEGER AS ord, name, 30 * (strlen(name) + 1) AS file_size, NULL::VARCHAR AS error FROM own JOIN k USING (batch_id) WHERE n <= 100
+        UNION ALL SELECT batch_id, NULL, NULL, NULL, CASE WHEN n = 0 THEN 'empty_zip' ELSE 'too_many_files' END FROM k WHERE n = 0 OR n > 100""",
+    ),
     "S3_pdf_page_counts": (
         lambda s, d: pdf_pages(_read_back(s, d)).groupBy(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id")).agg(F.count("*").cast("int").alias("pages"), F.max("width").alias("width"), F.max("height").alias("height")),
         f"WITH {B.DOCS} SELECT doc_id, page_count AS pages, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height FROM docs WHERE status = 'done' AND page_count > 0",
