@@ -528,7 +528,7 @@ def test_queries_match_their_sql(spark):
     queries, wrong = catalogue.queries(), []
 
     def plain(frame):
-        frame = frame[sorted(frame.columns)]
+        frame = frame[sorted(frame.columns)].map(lambda v: str([getattr(x, "item", lambda x=x: x)() for x in v]) if isinstance(v, (list, np.ndarray)) else v)
         return sorted(tuple("" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else str(round(float(v), 5)) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v) for v in r) for r in frame.itertuples(index=False))
 
     for name, sql in catalogue.oracle_sql().items():
