@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
@@ -9,6 +13,40 @@ from pageloom.operators import base as B
 from pageloom.session import table
 
 
+@lru_cache(maxsize=1)
+def matching_table() -> tuple[str, str, str, str]:
+    """How single characters are brought to the matching form: those that become one other, what they become, those that vanish, and those that
+    need their neighbours or become several (as a character class)."""
+    changed, to, gone, several = [], [], [], set()
+    for i in range(65, 0x10000):
+        ch = chr(i)
+        if 0xD800 <= i <= 0xDFFF or 0xAC00 <= i <= 0xD7A3:
+            continue
+        form = "" if T.DROPPED.match(ch) else "".join(c for c in unicodedata.normalize("NFD", T.DROPPED.sub("", unicodedata.normalize("NFKC", ch))) if unicodedata.category(c) != "Mn")
+        form = unicodedata.normalize("NFC", form).casefold()
+        if form.isspace():
+            form = " "
+        if not form:
+            gone.append(ch)
+        elif len(form) > 1 or "\u1100" <= form <= "\u11ff":
+            several.add(i)
+        elif form != ch:
+            changed.append(ch)
+            to.append(form)
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and unicodedata.category(parts[-1]) != "Mn" and unicodedata.normalize("NFC", ch) == ch:
+            several.add(ord(parts[-1]))  # may join what stands before it
+    several.update(range(0x1100, 0x1200))
+    runs: list[list[int]] = []
+    for i in sorted(several):
+        if runs and i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    inside = "".join(rf"\x{{{a:04x}}}-\x{{{b:04x}}}" for a, b in runs)
+    return "".join(changed), "".join(to), "".join(gone), f"[{inside}\\x{{10000}}-\\x{{10ffff}}]"
+
+
 def _length(expression: str, pattern: str) -> str:
     return f"len(regexp_extract_all({expression}, '{pattern}'))"
 
@@ -28,16 +66,14 @@ def _quoted(text: str) -> str:
 
 def _several() -> str:
     """The characters that become several, with what they become, as rows."""
-    import re
-
-    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", T.matching_table()[3]))
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", matching_table()[3]))
     chars = [chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i <= 0xDFFF and pattern.match(chr(i))]
     # white space at the ends of a part would be lost
     forms = {c: T.matching_form(f"x{c}x")[1:-1] for c in chars}
     return ", ".join(f"({_quoted(c)}, {_quoted(f)})" for c, f in forms.items() if f != c)
 
 
-_CHANGED, _TO, _GONE, _ = T.matching_table()
+_CHANGED, _TO, _GONE, _ = matching_table()
 #: Characters of an expression one by one, each as its own form, put together and tidied.
 _FORMED = f"""several(c, f) AS (VALUES {_several()}), wide AS (SELECT map(list(c), list(f)) AS m, '[' || string_agg(regexp_escape(c), '') || ']' AS p FROM several)"""
 
