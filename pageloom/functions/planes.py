@@ -72,19 +72,23 @@ def steepness(plane: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def extreme(plane: np.ndarray, size: int, axis: int, highest: bool) -> np.ndarray:
-    """Highest or lowest value in a window along an axis, in two passes whatever its size."""
+    """Highest or lowest value in a window along an axis, the window doubled until it has its size."""
     if size <= 1:
         return plane
     n, before = plane.shape[axis], size // 2
     op = np.maximum if highest else np.minimum
     after = size - 1 - before
-    full = -(-(n + size - 1) // size) * size - (n + size - 1)
-    wide = np.moveaxis(_along(plane, axis, before, after, "reflect") if max(before, after) <= n else _wide(plane, axis, before, after), axis, 0)
-    wide = np.concatenate([wide, np.repeat(wide[-1:], full, axis=0)])
-    blocks = wide.reshape(-1, size, *wide.shape[1:])
-    ahead = op.accumulate(blocks, axis=1).reshape(wide.shape)
-    behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(wide.shape)
-    return np.moveaxis(op(behind[:n], ahead[size - 1 : size - 1 + n]), 0, axis)
+    out = _along(plane, axis, before, after, "reflect") if max(before, after) <= n else _wide(plane, axis, before, after)
+
+    def joined(step: int) -> np.ndarray:
+        low, high = [slice(None)] * out.ndim, [slice(None)] * out.ndim
+        low[axis], high[axis] = slice(0, out.shape[axis] - step), slice(step, None)
+        return op(out[tuple(low)], out[tuple(high)])
+
+    span = 1
+    while span * 2 <= size:
+        out, span = joined(span), span * 2
+    return joined(size - span) if size > span else out
 
 
 def _wide(plane: np.ndarray, axis: int, before: int, after: int) -> np.ndarray:
