@@ -77,12 +77,16 @@ def _round4(x: Column) -> Column:
 
 
 def document_averages(metrics: DataFrame) -> DataFrame:
-    """Means of the page metrics (null counts as 0), the most frequent mode (of equal ones that of the earliest page), any scaled page."""
+    """Means of the page metrics (null counts as 0), the most frequent mode (of equal ones that of the earliest page), any scaled page, the number of pages."""
     names = ["paper_std", "background_spread", "contrast", "chroma"]
-    means = metrics.groupBy("doc_id").agg(*(_round4(F.avg(F.coalesce(n, F.lit(0.0)))).alias(n) for n in names), F.bool_or("scaled").alias("scaled"))
-    modes = metrics.groupBy("doc_id", "mode").agg(F.count("*").alias("n"), F.min("page").alias("first"))
-    modal = modes.groupBy("doc_id").agg(F.max_by("mode", F.struct("n", (-F.col("first")).alias("first"))).alias("mode"))
-    return means.join(modal, "doc_id")
+    # one pass over the pages, whose metrics may be costly: sums of each mode, then of each document
+    modes = metrics.groupBy("doc_id", "mode").agg(
+        F.count("*").alias("n"), F.min("page").alias("first"), F.bool_or("scaled").alias("scaled"), *(F.sum(F.coalesce(n, F.lit(0.0))).alias(n) for n in names)
+    )
+    return modes.groupBy("doc_id").agg(
+        *(_round4(F.sum(n) / F.sum("n")).alias(n) for n in names), F.bool_or("scaled").alias("scaled"), F.sum("n").alias("pages"),
+        F.max_by("mode", F.struct("n", (-F.col("first")).alias("first"))).alias("mode"),
+    )
 
 
 #: What is told of a failure.

@@ -404,6 +404,44 @@ def test_specks_stay_unless_asked():
     assert I.tiny_specks(dark, I.Settings(remove_specks=True))[5, 5]
 
 
+def plan_of(spark, name):
+    from pageloom.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    return catalogue.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_of_a_document_are_cleaned_once(spark):
+    assert plan_of(spark, "P24_clean_document").count("MapInPandas") == 2  # drawn, and cleaned
+
+
+def test_equal_images_are_worked_out_once():
+    seen = []
+    once = I.Once(lambda a: seen.append(a.shape) or (int(a.sum()),), most=2000)
+    white, other = b"\xff" * 300, b"\xff" * 299 + b"\xfe"
+    assert [once(white, 10, 10), once(other, 10, 10), once(white, 10, 10), once(white, 5, 20)] == [(76500,), (76499,), (76500,), (76500,)]
+    assert seen == [(10, 10, 3), (10, 10, 3), (5, 20, 3)]
+    for k in range(50):
+        assert once(bytes([k]) * 300, 10, 10) == (300 * k,)
+    assert once.held <= 2000 and len(once.kept) == 5
+    with pytest.raises(ValueError):
+        once(b"short", 4, 4)
+
+
+@pytest.mark.parametrize("shape, sigma, order, mode", [((70, 300), 1.2, 1, "reflect"), ((70, 300), 6.0, 0, "nearest"), ((130, 9), 6.0, 1, "reflect"), ((20, 600), 32.0, 0, "nearest"), ((3, 4), 6.0, 0, "reflect")])
+def test_smoothing_equals_plain_sums(shape, sigma, order, mode):
+    plane = np.random.default_rng(1).integers(0, 256, shape).astype(np.float32)
+    w = P._weights(sigma, order)[:: -1 if order else 1]
+    for axis in (0, 1):
+        wide = np.pad(plane.astype(float), [(len(w) // 2,) * 2 if k == axis else (0, 0) for k in (0, 1)], mode={"nearest": "edge", "reflect": "symmetric"}[mode])
+        want = np.apply_along_axis(lambda line: np.convolve(line, w[::-1], "valid"), axis, wide)
+        assert np.allclose(P._filtered(plane, sigma, order, axis, mode), want, atol=1e-4)
+    even = np.full(shape, 231.3, np.float32)
+    assert (P.smooth(even, sigma, mode) == even).all()
+
+
 # --- files --------------------------------------------------------------------
 
 
