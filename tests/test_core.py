@@ -417,6 +417,16 @@ def test_pages_of_a_document_are_cleaned_once(spark):
     assert plan_of(spark, "P24_clean_document").count("MapInPandas") == 2  # drawn, and cleaned
 
 
+def test_averages_measure_pages_once_and_alike(spark):
+    assert plan_of(spark, "A2_document_averages").count("MapInPandas") == 2
+    rng = np.random.default_rng(2)
+    pages = [(1, k, 90, 120, rng.integers(0, 256, 90 * 120 * 3).astype(np.uint8).tobytes()) for k in range(3)] + [(1, 3, 400, 90, bytes([250, 240, 120]) * 36000), (1, 4, 4, 4, b"short"), (1, 5, None, None, None)]
+    df = spark.createDataFrame(pages, "doc_id long, page int, height int, width int, data binary")
+    for settings_ in (I.DEFAULTS, I.Settings(max_edge=100), I.Settings(enabled=False)):
+        measured, cleaned = I.measure_pages(df, s=settings_), I.clean_pages(df, s=settings_)
+        assert "data" not in measured.columns and sorted(measured.collect()) == sorted(cleaned.select(measured.columns).collect())
+
+
 def test_equal_images_are_worked_out_once():
     seen = []
     once = I.Once(lambda a: seen.append(a.shape) or (int(a.sum()),), most=2000)
