@@ -427,6 +427,10 @@ def test_averages_measure_pages_once_and_alike(spark):
         assert "data" not in measured.columns and sorted(measured.collect()) == sorted(cleaned.select(measured.columns).collect())
 
 
+def test_modal_mode_measures_pages_once(spark):
+    assert plan_of(spark, "A3_modal_mode").count("MapInPandas") == 2
+
+
 def test_equal_images_are_worked_out_once():
     seen = []
     once = I.Once(lambda a: seen.append(a.shape) or (int(a.sum()),), most=2000)
