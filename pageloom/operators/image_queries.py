@@ -101,11 +101,12 @@ def _figures(f: Callable, schema: str, kind: str = "full") -> Callable:
     names = ["doc_id", "page", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches):
+        once = I.Once(f)
         for batch in batches:
-            rows = [(r.doc_id, r.page, *x) for r in batch.itertuples(index=False) for x in f(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3))]
+            rows = [(d, p, *x) for d, p, c, k, w in batch.itertuples(index=False) for x in once(draw(int(d), bool(c), k, int(w)).tobytes(), HEIGHT, int(w))]
             yield pd.DataFrame(rows, columns=names)
 
-    return lambda s, d: drawn_pages(B.findings(s, d), kind).mapInPandas(run, f"doc_id long, page int, {schema}")
+    return lambda s, d: _asked(B.findings(s, d), kind).mapInPandas(run, f"doc_id long, page int, {schema}")
 
 
 def _values(plane: np.ndarray) -> list[tuple]:

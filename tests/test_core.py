@@ -431,6 +431,10 @@ def test_modal_mode_measures_pages_once(spark):
     assert plan_of(spark, "A3_modal_mode").count("MapInPandas") == 2
 
 
+def test_figures_are_taken_where_pages_are_drawn(spark):
+    assert plan_of(spark, "P22_colour_blend").count("MapInPandas") == 1  # no image is handed on
+
+
 def test_equal_images_are_worked_out_once():
     seen = []
     once = I.Once(lambda a: seen.append(a.shape) or (int(a.sum()),), most=2000)
