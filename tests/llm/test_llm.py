@@ -118,6 +118,16 @@ def test_words_beyond_the_vectors_are_judged(spark, monkeypatch):
     assert ("domato", "damato") in rows(scans.misread_words(body, words))
 
 
+def test_every_word_found_often_gets_a_learned_vector(spark, monkeypatch):
+    body, words = two_topics(spark, 60, 6)
+    often = words.where("n >= 5").select("word")
+    for most in (10, 8_000):  # vectors joined by shuffle, and by broadcast
+        monkeypatch.setattr(scans, "MAX_VECTORS", most)
+        assert rows(scans.skip_gram(body, words).select("word")) == rows(often) and often.count() > 58
+        links = often.where("word <> 'damato'").select("word", F.lit("damato").alias("candidate"))
+        assert rows(scans.context_fit(body, words, links).select("word")) == rows(links.select("word"))
+
+
 def test_verdicts_do_not_depend_on_the_number_of_pages(spark):
     body, words = two_topics(spark, 720, 60)
     assert ("domato", "damato") in rows(scans.misread_words(body, words))
